@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module of this package that has it.
 WHERE = {
     "op1_lm_score": "lm_score",
+    "op2_quality_classifier": "quality",
     "op4_simhash_covering": "covering",
     "op5_packing": "packing",
 }
