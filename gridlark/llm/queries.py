@@ -12,6 +12,7 @@ WHERE = {
     "op1_lm_score": "lm_score",
     "op2_quality_classifier": "quality",
     "op4_simhash_covering": "covering",
+    "op8_source_mixing": "mixing",
     "op5_packing": "packing",
 }
 
