@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 WHERE = {
     "op1_lm_score": "lm_score",
     "op2_quality_classifier": "quality",
+    "op3_order_minhash": "order_minhash",
     "op4_simhash_covering": "covering",
     "op8_source_mixing": "mixing",
     "op5_packing": "packing",
