@@ -113,9 +113,24 @@ def mix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str
     part = lambda epoch: F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - epoch * F.col("shard_size") - F.col("before")))
     epochs = F.array(*[part(F.lit(e)) for e in range(p.epochs)])
     return given.select(
-        F.col("id").alias(id), "size", "source_size", "target", F.aggregate(epochs, F.lit(0).cast("long"), lambda a, x: a + x).cast("long").alias("taken"), epochs.alias("epochs"), "digest", F.col("quota").alias("shard_quota"), F.col("shard")
+        F.col("id").alias(id), "size", "source_size", "target", F.aggregate(epochs, F.lit(0).cast("long"), lambda a, x: a + x).cast("long").alias("taken"), epochs.alias("epochs"), "digest", "source", F.col("quota").alias("shard_quota"), F.col("shard")
     )
 
 
+def take(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", params: MixParams = MixParams()) -> DataFrame:
+    """The mix itself: a row of docs for each epoch that takes words of it, its text cut after the words taken.
+
+    Rows with equal id, source and text are alike, so one of them stands for what all of them give.
+    """
+    digest = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(params.seed))
+    key = lambda i, s, d: F.xxhash64(F.coalesce(F.col(i).cast("string"), F.lit("\x00")), F.coalesce(F.col(s).cast("string"), F.lit("\x00")), d)
+    plan = mix(docs, id=id, text=text, source=source, params=params).where("taken > 0")
+    plan = plan.groupBy(key(id, "source", F.col("digest")).alias("__key")).agg(F.first("size").alias("__size"), F.flatten(F.collect_list("epochs")).alias("__epochs"))
+    rows = docs.withColumn("__key", key(id, source, digest)).join(plan, "__key").dropDuplicates(["__key"])
+    rows = rows.withColumn("__words", F.explode("__epochs")).where("__words > 0")
+    first_words = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("__words").cast("int")), "")
+    return rows.withColumn(text, F.when(F.col("__words") >= F.col("__size"), F.col(text)).otherwise(first_words)).select(*docs.columns)
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

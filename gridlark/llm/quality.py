@@ -18,6 +18,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -166,6 +167,15 @@ def score(stats: DataFrame, model: Trees) -> DataFrame:
     return stats.mapInArrow(run, "id long, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
+    """Rows that the model rates 0.5 or more."""
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.predict(np.array([statistics(t.encode("utf-8", "surrogatepass")) for t in texts], np.float32).reshape(len(texts), len(FEATURES))) >= 0.5)
+
+    return docs.where(good(text_or_empty(text)))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = materialize(document_statistics(table(spark, sf_dir, "documents")), "statistics")
     labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 3) != 1).select(F.col("doc_id").alias("id"), F.col("quality").alias("y"))

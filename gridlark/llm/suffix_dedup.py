@@ -29,6 +29,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -380,8 +381,6 @@ def repeat_report(docs: DataFrame, *, id: str = "doc_id", text: str = "text", pa
 
 def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", params: RepeatParams = RepeatParams()) -> DataFrame:
     """docs with the repeats cut from their texts, up to whole characters; all columns are kept."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def cut(texts: pd.Series, marks: pd.Series) -> pd.Series:
         return pd.Series([t if m is None else _cut(t.encode("utf-8"), [{"a": x["a"], "b": x["b"]} for x in m], True)[0].decode("utf-8") for t, m in zip(texts, marks)])
