@@ -13,6 +13,7 @@ WHERE = {
     "op2_quality_classifier": "quality",
     "op3_order_minhash": "order_minhash",
     "op4_simhash_covering": "covering",
+    "op6_flac_media": "flac",
     "op7_token_counts": "token_counts",
     "op10_language_id": "langid",
     "op9_suffix_dedup": "suffix_dedup",
