@@ -17,6 +17,7 @@ packed each by itself; an empty table gives no rows; other columns are ignored,
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,7 +25,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,38 +38,39 @@ class PackingParams:
     window: int = 1024
     separator: int = 0
     open_windows: int = 4096
-    cached_pieces: int = 250_000
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The printable stand-ins for bytes in a byte-level vocabulary: printable Latin-1 stands for itself, the rest from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class Tokenizer:
-    """Ids of a byte-level BPE file, as little-endian 32-bit bytes, with a bounded cache of pre-tokens."""
+    """Ids of a byte-level BPE file, as little-endian 32-bit bytes.
+
+    Merges are in the order of ids in such a file, so a rank-based encoder of the same vocabulary gives the same ids
+    several times faster. It takes texts of characters on which the two libraries' regular expressions
+    agree for certain; the file's own library takes the others.
+    """
 
-    def __init__(self, path: str, pattern: str, cached: int):
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
         from tokenizers import Tokenizer as Load
 
         self.full = Load.from_file(path)
         self.full.encode_special_tokens = True
-        self.split = regex.compile(pattern).findall
-        # letters, digits, signs and spaces on which all regular expression engines agree
-        self.plain = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ſ‐-‧‰-›€]").search
-        self.cached, self.cache = cached, {}
+        letters, special = byte_alphabet(), {t["id"] for t in json.loads(self.full.to_str())["added_tokens"]}
+        ranks = {bytes(letters[c] for c in token): i for token, i in self.full.get_vocab(with_added_tokens=True).items() if i not in special}
+        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.other = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ſ‐-‧‰-›€]").search
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if self.plain(t)]
-        out: list[bytes] = [b""] * len(texts)
+        whole = [i for i, t in enumerate(texts) if self.other(t)]
+        out = [b"" if self.other(t) else self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() for t in texts]
         for i, e in zip(whole, self.full.encode_batch([texts[i] for i in whole], add_special_tokens=False)):
             out[i] = np.array(e.ids, "<u4").tobytes()
-        rest = [i for i in range(len(texts)) if not self.plain(texts[i])] if whole else range(len(texts))
-        pieces = {i: self.split(texts[i]) for i in rest}
-        new = list({p for ps in pieces.values() for p in ps if p not in self.cache})
-        if len(self.cache) + len(new) > self.cached:
-            self.cache = {}
-            new = list({p for ps in pieces.values() for p in ps})
-        for p, e in zip(new, self.full.encode_batch(new, add_special_tokens=False)):
-            self.cache[p] = np.array(e.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
-        for i, ps in pieces.items():
-            out[i] = b"".join(map(get, ps))
         return out
 
 
@@ -161,7 +162,7 @@ def _pack(path: str, pattern: str, params: PackingParams):
     def run(batches):
         from pyspark import TaskContext
 
-        tokenizer, end = Tokenizer(path, pattern, params.cached_pieces), np.array([params.separator], "<u4").tobytes()
+        tokenizer, end = Tokenizer(path, pattern), np.array([params.separator], "<u4").tobytes()
         packer = Packer(params, TaskContext.get().partitionId() << 40)
         for cols, texts in chunks(batches, "text", 1 << 20):
             encoded = tokenizer.encode([t.decode("utf-8", "replace") for t in texts])
