@@ -33,7 +33,7 @@ class MixParams:
     share: float = 1.5  # of all words
     epochs: int = 2
     block: int = 16  # words
-    shard: int = 1 << 22  # words
+    shard: int = 1 << 19  # words
     seed: int = 17
 
 

@@ -356,12 +356,12 @@ def _cut(text: bytes, marks: list[dict], whole_characters: bool) -> tuple[bytes,
 
 
 def marked(docs: DataFrame, id: str, text: str, params: RepeatParams) -> DataFrame:
-    """docs with columns key, __text and marks."""
-    keyed = docs.withColumn("__text", text_or_empty(text)).withColumn("key", F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("")), "__text"))
-    marks = repeats(keyed.select("key", F.col("__text").alias("text")), params)
+    """docs with columns __key, __text and __marks."""
+    keyed = docs.withColumn("__text", text_or_empty(text)).withColumn("__key", F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("")), "__text"))
+    marks = repeats(keyed.select(F.col("__key").alias("key"), F.col("__text").alias("text")), params)
     # copies under one key mark the same places
-    per = marks.distinct().groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
-    return keyed.join(per, "key", "left")
+    per = marks.distinct().groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("a", "b")).alias("__marks"))
+    return keyed.join(per, "__key", "left")
 
 
 def repeat_report(docs: DataFrame, *, id: str = "doc_id", text: str = "text", params: RepeatParams = RepeatParams()) -> DataFrame:
@@ -369,13 +369,13 @@ def repeat_report(docs: DataFrame, *, id: str = "doc_id", text: str = "text", pa
 
     def run(batches):
         for cols, texts in chunks(batches, "__text", 1 << 22):
-            cuts = [_cut(t, m or [], False) for t, m in zip(texts, cols["marks"])]
+            cuts = [_cut(t, m or [], False) for t, m in zip(texts, cols["__marks"])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols["id"], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([c[1] for c in cuts], pa.int64()), pa.array([c[2] for c in cuts], pa.int64()), pa.array([hashlib.sha256(c[0]).hexdigest() for c in cuts])],
                 ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    rows = marked(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), "id", "text", params).select("id", "marks", "__text")
+    rows = marked(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), "id", "text", params).select("id", "__marks", "__text")
     return rows.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id)
 
 
@@ -386,7 +386,7 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", p
         return pd.Series([t if m is None else _cut(t.encode("utf-8"), [{"a": x["a"], "b": x["b"]} for x in m], True)[0].decode("utf-8") for t, m in zip(texts, marks)])
 
     rows = marked(docs, id, text, params)
-    return rows.withColumn(text, F.when(F.col("marks").isNull(), F.col(text)).otherwise(cut("__text", "marks"))).select(*docs.columns)
+    return rows.withColumn(text, F.when(F.col("__marks").isNull(), F.col(text)).otherwise(cut("__text", "__marks"))).select(*docs.columns)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
