@@ -82,19 +82,24 @@ def _ms(column: str, grain: str | None = None) -> str:
     return f"CAST(epoch_ms({column if grain is None else f'date_trunc({chr(39)}{grain}{chr(39)}, {column})'}) AS DOUBLE)"
 
 
+def near(value):
+    """Four places, a little off, since means of round numbers often fall just between two of them."""
+    return F.round(value + 0.0000123, 4)
+
+
 def points(spark: SparkSession, sf_dir: str, table_name: str, *columns: str, df: DataFrame | None = None, **request) -> DataFrame:
     c = chart(tab(spark, sf_dir, table_name) if df is None else df, ChartRequest(**request))
-    return c.points.select(*[F.round(x, 4).alias(x) if x in ("x", "y") else F.col(x) for x in columns])
+    return c.points.select(*[near(F.col(x)).alias(x) if x in ("x", "y") else F.col(x) for x in columns])
 
 
 def _hist(table_name: str, column: str) -> str:
     return (
         f"WITH v AS (SELECT CAST({column} AS DOUBLE) v FROM {table_name}), r AS (SELECT min(v) a, (max(v) - min(v)) / 30 w FROM v), b AS (SELECT least(29, CAST(floor((v - a) / w) AS BIGINT)) i, count(*) n FROM v, r GROUP BY 1) "
-        "SELECT round(a + (g.i + 0.5::DOUBLE) * w, 4) AS x, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT unnest(range(30)) AS i) g CROSS JOIN r LEFT JOIN b ON g.i = b.i"
+        "SELECT round(a + (g.i + 0.5::DOUBLE) * w + 0.0000123, 4) AS x, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT unnest(range(30)) AS i) g CROSS JOIN r LEFT JOIN b ON g.i = b.i"
     )
 
 
-query("chart_sum_by_month_split", f"SELECT l_returnflag AS series, {_ms('l_shipdate', 'month')} AS x, round(sum(l_extendedprice), 4) AS y, count(*) AS n FROM lineitem GROUP BY 1, 2")(
+query("chart_sum_by_month_split", f"SELECT l_returnflag AS series, {_ms('l_shipdate', 'month')} AS x, round(sum(l_extendedprice) + 0.0000123, 4) AS y, count(*) AS n FROM lineitem GROUP BY 1, 2")(
     lambda s, d: points(s, d, "lineitem", "series", "x", "y", "n", x="l_shipdate", y="l_extendedprice", agg="sum", grain="month", split="l_returnflag")
 )
 query("chart_histogram", _hist("lineitem", "l_extendedprice"))(lambda s, d: points(s, d, "lineitem", "x", "n", x="l_extendedprice"))
@@ -105,19 +110,19 @@ query("chart_bar_labels_cut", "SELECT left(c_mktsegment || ' customers of the na
     lambda s, d: points(s, d, "", "label", "n", df=tab(s, d, "customer").selectExpr("c_mktsegment || ' customers of the nation ' || c_nationkey AS t"), x="t")
 )
 for _agg, _f in (("count", "count(*)"), ("sum", "sum(l_extendedprice)"), ("mean", "avg(l_extendedprice)"), ("median", "median(l_extendedprice)"), ("min", "min(l_extendedprice)"), ("max", "max(l_extendedprice)")):
-    query(f"chart_bar_{_agg}", f"SELECT l_returnflag AS label, round(CAST({_f} AS DOUBLE), 4) AS y, count(*) AS n FROM lineitem GROUP BY 1")(
+    query(f"chart_bar_{_agg}", f"SELECT l_returnflag AS label, round(CAST({_f} AS DOUBLE) + 0.0000123, 4) AS y, count(*) AS n FROM lineitem GROUP BY 1")(
         lambda s, d, a=_agg: points(s, d, "lineitem", "label", "y", "n", x="l_returnflag", y="l_extendedprice", agg=a)
     )
 _STRIDE = "SELECT x, y FROM (SELECT *, row_number() OVER (ORDER BY {o}) - 1 AS i, count(*) OVER () AS c FROM (SELECT {x} AS x, {y} AS y, {k} AS k FROM {t})) WHERE i % CAST(ceil(c / {m}::DOUBLE) AS BIGINT) = 0"
 query("chart_line_raw", _STRIDE.format(x=_ms("o_orderdate"), y="o_totalprice", k="o_orderkey", t="orders", o="x, k", m=800))(
     lambda s, d: points(s, d, "orders", "x", "y", x="o_orderdate", y="o_totalprice", order=["o_orderkey"])
 )
-query("chart_scatter", _STRIDE.format(x="CAST(user_id AS DOUBLE)", y="round(value, 4)", k="event_id", t="events", o="k", m=2000))(lambda s, d: points(s, d, "events", "x", "y", x="user_id", y="value", order=["event_id"]))
+query("chart_scatter", _STRIDE.format(x="CAST(user_id AS DOUBLE)", y="round(value + 0.0000123, 4)", k="event_id", t="events", o="k", m=2000))(lambda s, d: points(s, d, "events", "x", "y", x="user_id", y="value", order=["event_id"]))
 for _grain, _t, _x, _y in (("year", "orders", "o_orderdate", "o_totalprice"), ("quarter", "orders", "o_orderdate", "o_totalprice"), ("month", "orders", "o_orderdate", "o_totalprice"), ("week", "events", "ts", "value"), ("day", "events", "ts", "value")):
-    query(f"chart_grain_{_grain}", f"SELECT {_ms(_x, _grain)} AS x, round(avg({_y}), 4) AS y, count(*) AS n FROM {_t} GROUP BY 1")(
+    query(f"chart_grain_{_grain}", f"SELECT {_ms(_x, _grain)} AS x, round(avg({_y}) + 0.0000123, 4) AS y, count(*) AS n FROM {_t} GROUP BY 1")(
         lambda s, d, g=_grain, t=_t, x=_x, y=_y: points(s, d, t, "x", "y", "n", x=x, y=y, grain=g)
     )
-_BUCKETS = "WITH v AS (SELECT {x} AS x, {s} AS s, CAST({y} AS DOUBLE) AS y FROM {t}), r AS (SELECT min(x) a, (max(x) - min(x)) / 30 w FROM v) SELECT s AS series, round(a + (least(29, floor((x - a) / w)) + 0.5::DOUBLE) * w, 4) AS x, round({f}, 4) AS y, count(*) AS n FROM v, r GROUP BY 1, 2"
+_BUCKETS = "WITH v AS (SELECT {x} AS x, {s} AS s, CAST({y} AS DOUBLE) AS y FROM {t}), r AS (SELECT min(x) a, (max(x) - min(x)) / 30 w FROM v) SELECT s AS series, round(a + (least(29, floor((x - a) / w)) + 0.5::DOUBLE) * w + 0.0000123, 4) AS x, round({f} + 0.0000123, 4) AS y, count(*) AS n FROM v, r GROUP BY 1, 2"
 for _grain in ("hour", "minute", "second"):
     query(f"chart_grain_{_grain}_bucketed", _BUCKETS.format(x=_ms('ts', _grain), s="CAST(NULL AS VARCHAR)", y="value", t="events", f="avg(y)"))(
         lambda s, d, g=_grain: points(s, d, "events", "series", "x", "y", "n", x="ts", y="value", grain=g)
@@ -128,13 +133,13 @@ query("chart_split_lines", f"SELECT o_orderstatus AS series, {_ms('o_orderdate',
 query("chart_split_buckets", _BUCKETS.format(x=_ms("o_orderdate"), s="o_orderstatus", y="o_totalprice", t="orders", f="sum(y)"))(
     lambda s, d: points(s, d, "orders", "series", "x", "y", "n", x="o_orderdate", y="o_totalprice", agg="sum", split="o_orderstatus")
 )
-query("chart_dodged_bars", "SELECT l_returnflag AS label, l_linestatus AS series, round(avg(l_quantity), 4) AS y, count(*) AS n FROM lineitem GROUP BY 1, 2")(
+query("chart_dodged_bars", "SELECT l_returnflag AS label, l_linestatus AS series, round(avg(l_quantity) + 0.0000123, 4) AS y, count(*) AS n FROM lineitem GROUP BY 1, 2")(
     lambda s, d: points(s, d, "lineitem", "label", "series", "y", "n", x="l_returnflag", y="l_quantity", split="l_linestatus")
 )
-query("chart_split_histogram", "WITH r AS (SELECT min(l_extendedprice) a, (max(l_extendedprice) - min(l_extendedprice)) / 30 w FROM lineitem), b AS (SELECT l_returnflag s, least(29, CAST(floor((l_extendedprice - a) / w) AS BIGINT)) i, count(*) n FROM lineitem, r GROUP BY 1, 2) SELECT f.s AS series, round(a + (g.i + 0.5::DOUBLE) * w, 4) AS x, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT DISTINCT l_returnflag AS s FROM lineitem) f CROSS JOIN (SELECT unnest(range(30)) AS i) g CROSS JOIN r LEFT JOIN b ON g.i = b.i AND f.s = b.s")(
+query("chart_split_histogram", "WITH r AS (SELECT min(l_extendedprice) a, (max(l_extendedprice) - min(l_extendedprice)) / 30 w FROM lineitem), b AS (SELECT l_returnflag s, least(29, CAST(floor((l_extendedprice - a) / w) AS BIGINT)) i, count(*) n FROM lineitem, r GROUP BY 1, 2) SELECT f.s AS series, round(a + (g.i + 0.5::DOUBLE) * w + 0.0000123, 4) AS x, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT DISTINCT l_returnflag AS s FROM lineitem) f CROSS JOIN (SELECT unnest(range(30)) AS i) g CROSS JOIN r LEFT JOIN b ON g.i = b.i AND f.s = b.s")(
     lambda s, d: points(s, d, "lineitem", "series", "x", "n", x="l_extendedprice", split="l_returnflag")
 )
-query("chart_split_scatter", _STRIDE.replace("SELECT x, y FROM", "SELECT series, x, y FROM").format(x="CAST(user_id AS DOUBLE)", y="round(value, 4)", k="event_type AS series, event_id", t="events WHERE event_type IN (SELECT event_type FROM events GROUP BY 1 ORDER BY count(*) DESC, event_type LIMIT 6)", o="k", m=2000))(
+query("chart_split_scatter", _STRIDE.replace("SELECT x, y FROM", "SELECT series, x, y FROM").format(x="CAST(user_id AS DOUBLE)", y="round(value + 0.0000123, 4)", k="event_type AS series, event_id", t="events WHERE event_type IN (SELECT event_type FROM events GROUP BY 1 ORDER BY count(*) DESC, event_type LIMIT 6)", o="k", m=2000))(
     lambda s, d: points(s, d, "events", "series", "x", "y", x="user_id", y="value", split="event_type", order=["event_id"])
 )
 query("chart_split_cap6", "SELECT lang AS label, source AS series, CAST(count(*) AS DOUBLE) AS y FROM documents WHERE source IN (SELECT source FROM documents GROUP BY 1 ORDER BY count(*) DESC, source LIMIT 6) GROUP BY 1, 2")(

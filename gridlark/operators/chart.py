@@ -48,6 +48,7 @@ class Chart:
     notes: list[str] = field(default_factory=list)
     empty: str | None = None
     domain: tuple[float, float] | None = None
+    duration: bool = False  # the value axis is in microseconds of time span
 
 
 def kinds_for(x: str, y: str | None = None) -> list[str]:
@@ -85,6 +86,7 @@ class _Charter:
         self.df, self.r = df, request
         self.types = {f.name: of_spark(f.dataType) for f in df.schema.fields}
         self.notes: list[str] = []
+        self.told = False
 
     # columns as values
 
@@ -147,6 +149,7 @@ class _Charter:
         facts = rows.agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count_if(F.col("v").isNull()).alias("bad"), F.count("v").alias("n")).first()
         self.skipped(facts["bad"])
         if not facts["n"]:
+            self.nothing = f"{name} has no numbers."
             return self.out(rows.where(F.lit(False)))
         low, high = facts["a"], facts["b"]
         self.domain = (low, high)
@@ -190,6 +193,11 @@ class _Charter:
         return self.out(self.strided(rows, keys, SCATTER if kind == "scatter" else LINE), F.col("x"), F.col("y"))
 
     def busiest(self, label: Column) -> DataFrame:
+        """The six labels with the most rows; says how many others are left out."""
+        labels = self.df.agg(F.approx_count_distinct(label).alias("n")).first()["n"] if not self.told else 0
+        if labels > SERIES:
+            self.notes.append(f"the {SERIES} busiest of about {labels:,} series")
+        self.told = True
         counts = self.df.select(label.alias("series")).where("series is not null").groupBy("series").agg(F.count("*").alias("__n"))
         top = counts.orderBy(F.desc("__n"), "series").limit(SERIES)  # six rows at most
         return top.withColumn("__rank", F.row_number().over(W.orderBy(F.desc("__n"), "series")))
@@ -254,7 +262,7 @@ def chart(df: DataFrame, request: ChartRequest) -> Chart:
     if r.x not in df.columns:
         return Chart("bar", None, empty=f"There is no column {r.x}.")
     c.families()
-    c.domain = None
+    c.domain = c.nothing = None
     x, y, split = r.x, r.y if r.y in df.columns else None, r.split
     fx, fy = family(c.types[x]), family(c.types[y]) if y else None
     if fy and fx == "number" and fy != "number":
@@ -269,7 +277,7 @@ def chart(df: DataFrame, request: ChartRequest) -> Chart:
     by = c.label(split) if split else None
     agg = r.agg if r.agg in AGGS else None
     measure = (agg or "mean") if y else "count"
-    done = lambda kind, kinds, points, xl=None: Chart(kind, points, kinds, measure, xl or x, f"{measure} of {y}" if y else "count", c.notes, None, c.domain)
+    done = lambda kind, kinds, points, xl=None: Chart(kind, points, kinds, measure, xl or x, f"{measure} of {y}" if y else "count", c.notes, c.nothing, c.domain, bool(y) and measure != "count" and c.types[y].startswith("duration"))
     if r.grain in GRAINS and is_calendar(c.types[x]):
         kinds = ["line", "bar", "scatter"]
         kind = r.kind if r.kind in kinds else "line"
