@@ -37,7 +37,7 @@ POSITION = 24  # bits of an element for its place in the text; the rest are its
 class OrderMinHashParams:
     tuples: int = 64  # a power of two
     kmer: int = 2
-    block: int = 1024  # documents that are neighbours by id
+    block: int = 512  # documents that are neighbours by id
 
 
 def _blocks(docs: DataFrame, params: OrderMinHashParams) -> Column:
@@ -58,7 +58,7 @@ def with_next(docs: DataFrame, params: OrderMinHashParams = OrderMinHashParams()
     rows = rows.withColumn("block", _blocks(rows, params))
     order = W.partitionBy("block").orderBy(F.col("id").asc_nulls_first(), "digest")
     heads = rows.groupBy("block").agg(F.min_by("text", F.struct("id", "digest")).alias("head"))
-    # one short row a block, a thousandth of the documents
+    # one short row a block
     after = rows.select("block").distinct().select("block", F.lead("block").over(W.orderBy("block")).alias("n"), F.min("block").over(W.partitionBy(F.lit(0))).alias("f"))
     ends = after.select("block", F.coalesce("n", "f").alias("next_block")).join(heads.withColumnRenamed("block", "next_block"), "next_block").select(F.col("block").alias("e_block"), "next_block", "head")
     placed = rows.withColumns({"place": F.row_number().over(order), "follower": F.lead("text").over(order)}).drop("digest")
@@ -130,9 +130,10 @@ def edit_sensitivity(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     told = materialize(facts.join(both, ["block", "place"], "left"), "signatures")
     heads = told.where("place = 1").select(F.col("block").alias("h_block"), F.col("own").alias("head"))
     led = told.withColumns({"follower": F.lead("own").over(W.partitionBy("block").orderBy("place")), "more": F.lead("place").over(W.partitionBy("block").orderBy("place"))})
-    ended = led.join(heads, (F.col("next_block") == F.col("h_block")) & F.col("more").isNull(), "left")
-    ended = ended.withColumn("next", F.when(F.col("more").isNull(), F.col("head")).otherwise(F.col("follower")))
-    return ended.select(
+    # only the last rows of blocks, a few, look elsewhere; the others have no key to be joined by
+    inner = led.where("more is not null").withColumn("next", F.col("follower"))
+    last = led.where("more is null").join(heads, F.col("next_block") == F.col("h_block"), "left").withColumn("next", F.col("head")).select(*inner.columns)
+    return inner.unionByName(last).select(
         F.col("id").alias(id), "n_chars", "edited_sha256", printed("own", params).alias("fingerprint"), printed("changed", params).alias("edited_fingerprint"),
         likeness("own", "changed", params).alias("near_edited"), likeness("own", "next", params).alias("near_next"),
     )
