@@ -10,7 +10,7 @@ distance and not just the set of k-mers. A bin without elements borrows from the
 The likeness of two fingerprints is the square root of the share of equal tuples, since a tuple agrees
 only if both of its elements do.
 
-Scale: texts are shuffled once, into blocks of about a thousand neighbouring ids. The next document's
+Scale: texts are shuffled once, into blocks of about 500 neighbouring ids. The next document's
 text comes from a window inside the block, and from a small table of first rows at its end. All that
 follows (exploding, numbering, minima) is grouped by the block as well, so it stays where it is.
 
