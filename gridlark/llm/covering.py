@@ -183,7 +183,7 @@ def classes(prints: DataFrame, radius: int = 4) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """One row a document: id, fingerprint (hex), component_id."""
-    prints = materialize(with_fingerprint(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "f").select("id", "f"), "prints")
+    prints = materialize(with_fingerprint(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), "f", words=words).select("id", "f"), "prints")
     return prints.join(classes(prints, radius), "f").select(F.col("id").alias(id), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -42,3 +42,57 @@ def test_stages(spark):
     assert sum(len(r.text.split()) for r in mixed) == pytest.approx(1.5 * total, rel=0.02)
     packed = c.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in mixed}
+
+
+def test_near_duplicates_from_four_fifths(spark):
+    """Planted pairs at 0.8 to 0.95 lose one text; pairs just below keep both; the brute force decides which is which."""
+    import random
+
+    import corpus_pipeline as c
+
+    rng = random.Random(5)
+    grams = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    rows, want, kinds = [], 0, [0, 0]
+    for i in range(120):
+        a = [str(rng.randrange(10**6)) for _ in range(rng.randint(80, 400))]
+        b = list(a)
+        for at in rng.sample(range(len(a)), rng.randint(1, max(1, len(a) // 32))):
+            b[at] = "edited"
+        x, y = grams(a), grams(b)
+        near = len(x & y) / len(x | y) >= 0.8
+        kinds[near] += 1
+        want += 1 if near else 2
+        rows += [(2 * i, " ".join(a), "en", "s", 1), (2 * i + 1, " ".join(b), "en", "s", 1)]
+    assert kinds[0] > 10 and kinds[1] > 40
+    rows += [(None, rows[0][1], "en", "s", 1), (1000, None, "en", "s", 1), (1001, " ", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = c.near_duplicate_filter(spark, docs, SF).collect()
+    assert len(got) == want + 1 and len({r.doc_id for r in got}) == len(got) and None not in {r.doc_id for r in got}
+    assert c.near_duplicate_filter(spark, docs.limit(0), SF).count() == 0
+
+
+def test_shingle_components_are_exact():
+    import numpy as np
+    from gridlark.llm import shingles
+
+    rng = np.random.default_rng(2)
+    base = [rng.choice(10**6, 60, replace=False).astype(np.uint64) for _ in range(8)]
+    sets = []
+    for i in range(150):
+        s = base[i % 8].copy()
+        s[: i % 12] = rng.integers(10**6, 10**7, i % 12)
+        sets.append(np.unique(s[rng.integers(0, 2) :]))
+    root = np.arange(len(sets))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if root[i] != root[j] and len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8:
+                root[root == max(root[i], root[j])] = min(root[i], root[j])
+    assert np.array_equal(shingles.similar(sets, 0.8), root)
+
+
+def test_covering_passes_words_on(spark):
+    from gridlark.llm import covering
+
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [int(covering.near_duplicates(docs, words=n).first().fingerprint, 16) for n in (4, 5)] == [covering.fingerprint(text.encode(), n) for n in (4, 5)]
