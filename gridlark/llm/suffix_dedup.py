@@ -25,6 +25,7 @@ rows; other columns are kept by `remove_repeats`.
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -355,9 +356,13 @@ def _cut(text: bytes, marks: list[dict], whole_characters: bool) -> tuple[bytes,
     return left, len(text) - len(left), len(runs)
 
 
+def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
+    return docs.withColumn("__text", text_or_empty(text)).withColumn("__key", F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("")), "__text"))
+
+
 def marked(docs: DataFrame, id: str, text: str, params: RepeatParams) -> DataFrame:
     """docs with columns __key, __text and __marks."""
-    keyed = docs.withColumn("__text", text_or_empty(text)).withColumn("__key", F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("")), "__text"))
+    keyed = _keyed(docs, id, text)
     marks = repeats(keyed.select(F.col("__key").alias("key"), F.col("__text").alias("text")), params)
     # copies under one key mark the same places
     per = marks.distinct().groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("a", "b")).alias("__marks"))
@@ -389,5 +394,53 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", p
     return rows.withColumn(text, F.when(F.col("__marks").isNull(), F.col(text)).otherwise(cut("__text", "__marks"))).select(*docs.columns)
 
 
+CODE = 4  # bytes that stand for a word
+
+
+def _spell(batches):
+    """Texts as one code of CODE bytes for each word."""
+    schema = pa.schema([("key", pa.int64()), ("text", pa.binary())])
+    digest = xxhash.xxh3_64_intdigest
+    for cols, texts in chunks(batches, "text", 1 << 22):
+        coded = [np.fromiter(map(digest, t.split()), np.uint64, -1).astype(np.uint32).tobytes() for t in texts]
+        yield pa.RecordBatch.from_arrays([pa.array(cols["key"], pa.int64()), pa.array(coded, pa.binary())], schema=schema)
+
+
+def word_repeats(rows: DataFrame, words: int) -> DataFrame:
+    """(key, a, b): ranges of words that repeat, from (key, text); a range has `words` at least.
+
+    A match that starts inside a code holds fewer whole words or starts one code later as well, so ranges
+    shrink to whole codes and those that get too short are none.
+    """
+    length = words * CODE
+    coded = materialize(rows.mapInArrow(_spell, "key long, text binary"), "words")
+    found = repeats(coded, RepeatParams(length=length, gram=length * 5 // 16))
+    whole = found.select("key", F.ceil(F.col("a") / CODE).alias("a"), F.floor(F.col("b") / CODE).alias("b"))
+    return whole.where(F.col("b") - F.col("a") >= words)
+
+
+def remove_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "text", words: int = 51, params: RepeatParams = RepeatParams()) -> DataFrame:
+    """As remove_repeats, but what goes is every repeat of `words` words, whatever its bytes and white space, and every one that remove_repeats cuts."""
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, marks: pd.Series, word_marks: pd.Series) -> pd.Series:
+        out = []
+        for t, m, w in zip(texts, marks, word_marks):
+            raw = t.encode("utf-8")
+            spans = [] if m is None else [{"a": x["a"], "b": x["b"]} for x in m]
+            if w is not None and len(w):
+                starts = [x.start() for x in re.finditer(rb"\S+", raw)] + [len(raw)]
+                spans += [{"a": starts[x["a"]], "b": starts[x["b"]]} for x in w]
+            out.append(_cut(raw, spans, True)[0].decode("utf-8") if spans else t)
+        return pd.Series(out)
+
+    rows = marked(docs, id, text, params)
+    found = word_repeats(_keyed(docs, id, text).select(F.col("__key").alias("key"), F.col("__text").alias("text")), words)
+    per = found.distinct().groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("a", "b")).alias("__words"))
+    rows = rows.join(per, "__key", "left")
+    none = F.col("__marks").isNull() & F.col("__words").isNull()
+    return rows.withColumn(text, F.when(none, F.col(text)).otherwise(cut("__text", "__marks", "__words"))).select(*docs.columns)
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(table(spark, sf_dir, "documents"))

@@ -96,3 +96,28 @@ def test_covering_passes_words_on(spark):
     text = "one two three four five six seven"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert [int(covering.near_duplicates(docs, words=n).first().fingerprint, 16) for n in (4, 5)] == [covering.fingerprint(text.encode(), n) for n in (4, 5)]
+
+
+def test_passages_of_over_fifty_words(spark):
+    """A passage of 51 short words goes from every document, one of 50 stays, and so does what stands around them."""
+    import random
+
+    import corpus_pipeline as c
+
+    rng = random.Random(9)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    short = lambda n: [rng.choice("abcdefghij") + rng.choice("xyz") for _ in range(n)]
+    cut, kept = short(51), short(50)
+    rows, want = [], {}
+    for i in range(12):
+        a, b = own(rng.randint(0, 90)), own(rng.randint(1, 90))
+        passage = [cut, kept, short(60)][i % 3]
+        rows.append((i, (" ", "\n")[i % 2].join([*a, *passage, *b]), "en", "s", 1))
+        want[i] = a + b if i % 3 == 0 else [*a, *passage, *b]
+    rows += [(50, None, "en", "s", 1), (51, "", "en", "s", 1), (None, "no id", "en", "s", 1), (52, "\u00e9" * 300, "fr", "s", 1), (53, "x" + "\u00e9" * 300, "fr", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in c.repeat_filter(spark, docs, SF).collect()}
+    assert len(got) == len(rows) and got[50] is None and got[51] == "" and got[None] == "no id"
+    assert {i: got[i].split() for i in want} == want
+    assert not got[52] and got[53] in ("x", "x\u00e9")  # bytes that repeat go as before
+    assert c.repeat_filter(spark, docs.limit(0), SF).count() == 0
