@@ -26,3 +26,7 @@ class UnknownColumn(SourceError):
         hint = f"; did you mean {', '.join(suggestions)}?" if suggestions else ""
         super().__init__(f"unknown column {name!r}{hint}")
         self.name, self.suggestions = name, suggestions
+
+
+class TooManyValues(ValueError):
+    """A verb makes a column or a frame of each value, and there are more values than it can."""

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridlark.errors import UnknownColumn
+from gridlark.errors import TooManyValues, UnknownColumn
 from gridlark.functions.dtypes import of_spark
 from gridlark.functions.expr import Context, Expr, as_expr, col, one, quoted, settle
 from gridlark.functions.selectors import Selector
@@ -32,6 +32,17 @@ def micros(span: str) -> int:
     return sum(int(n) * MICROS[u] for n, u in parts)
 
 
+MOST_VALUES = 10_000
+
+
+def _few(rows: DataFrame, what: str, order: Sequence[str] = ()) -> list:
+    """The distinct rows, of which there have to be MOST_VALUES at most."""
+    found = rows.distinct().orderBy(*[quoted(n) for n in order]).limit(MOST_VALUES + 1).collect() if order else rows.distinct().limit(MOST_VALUES + 1).collect()
+    if len(found) > MOST_VALUES:
+        raise TooManyValues(f"{what} has more than {MOST_VALUES} distinct values")
+    return found
+
+
 class Frame:
     def __init__(self, df: DataFrame, order: Sequence[str] = ()):
         self._df, self.order = df, tuple(order)
@@ -416,7 +427,7 @@ class Frame:
     # pivots
 
     def _values(self, name: str) -> list:
-        return sorted(r[0] for r in self._df.select(quoted(name)).distinct().limit(10_001).collect() if r[0] is not None)
+        return sorted(r[0] for r in _few(self._df.select(quoted(name)).where(quoted(name).isNotNull()), name))
 
     def pivot(self, on: str, index, values: str, aggregate: str = "first") -> Frame:
         how = {"first": F.first, "sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "count": F.count, "len": F.count, "median": F.median}[aggregate]
@@ -438,7 +449,7 @@ class Frame:
 
     def partition_by(self, *columns) -> dict[tuple, Frame]:
         names = self._names(columns)
-        keys = [tuple(r) for r in self._df.select(*[quoted(n) for n in names]).distinct().orderBy(*names).limit(10_001).collect()]
+        keys = [tuple(r) for r in _few(self._df.select(*[quoted(n) for n in names]), ", ".join(names), names)]
         return {k: self._with(reduce(lambda d, nv: d.where(quoted(nv[0]).eqNullSafe(F.lit(nv[1]))), zip(names, k), self._df)) for k in keys}
 
     # other frames

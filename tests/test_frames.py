@@ -2,7 +2,7 @@
 
 import pytest
 
-from gridlark.errors import UnknownColumn
+from gridlark.errors import TooManyValues, UnknownColumn
 from gridlark.functions import expr as e
 from gridlark.functions import selectors as cs
 from gridlark.plans.frame import Frame, concat, micros
@@ -101,3 +101,12 @@ def test_sql(spark, abc):
 
 def test_time_spans():
     assert micros("1h30m") == 5_400_000_000
+
+
+def test_too_many_values_are_an_error(spark):
+    f = Frame(spark.range(10_001).selectExpr("id AS k", "id % 2 AS g", "1 AS v"))
+    for made in (lambda: f.pivot("k", "g", "v"), lambda: f.crosstab("g", "k"), lambda: f.select("k").to_dummies("k"), lambda: f.partition_by("k")):
+        with pytest.raises(TooManyValues, match="k has more than 10000"):
+            made()
+    most = Frame(spark.range(10_000).selectExpr("nullif(id, 0) AS k"))
+    assert len(most.partition_by("k")) == 10_000 and len(most._values("k")) == 9_999
