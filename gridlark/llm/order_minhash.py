@@ -5,7 +5,8 @@ make overlapping k-mers, and the n-th occurrence of a k-mer is an element of its
 is split into 2 * m bins and each bin keeps its minimal element; two neighbouring bins form a tuple,
 whose elements are put back into text order before they are hashed. The m tuple hashes are the
 fingerprint: they agree where the same k-mers stand in the same order, which follows the edit
-distance and not just the set of k-mers. A bin without elements borrows from the next one that has any.
+distance and not just the set of k-mers. For a bin without elements the least of the others by a hash of the
+bin's own stands in, so that a tuple has two different elements unless the text has only one k-mer.
 
 The likeness of two fingerprints is the square root of the share of equal tuples, since a tuple agrees
 only if both of its elements do.
@@ -82,22 +83,29 @@ def signatures(sides: DataFrame, keys: list[str], params: OrderMinHashParams = O
     kept = F.shiftleft(F.shiftrightunsigned(F.xxhash64("k", nth), POSITION + 1), POSITION)
     elements = words.select(*keys, kept.bitwiseOR(F.least("pos", F.lit((1 << POSITION) - 1)).cast("long")).alias("e"))
     shift = 63 - (bins.bit_length() - 1)
-    minima = elements.groupBy(*keys, F.shiftright("e", shift).alias("bin")).agg(F.min("e").alias("e"))
-    held = minima.groupBy(*keys).agg(F.sort_array(F.collect_list("e")).alias("es"))
+    minima = elements.groupBy(*keys, F.shiftright("e", shift).alias("bin")).agg(F.min("e").alias("e"), F.max("e").alias("last"))
+    held = minima.groupBy(*keys).agg(F.sort_array(F.collect_list("e")).alias("es"), F.max("last").alias("last"))
     bin_of = lambda e: F.shiftright(e, shift).cast("int")
-    borrowed = F.concat(
-        F.flatten(F.transform("es", lambda e, i: F.array_repeat(e, F.when(i == 0, bin_of(e) + 1).otherwise(bin_of(e) - bin_of(F.get("es", i - 1)))))),
-        F.array_repeat(F.element_at("es", 1), F.lit(bins - 1) - bin_of(F.element_at("es", -1))),
-    )
-    full = held.select(*keys, F.when(F.size("es") == bins, F.col("es")).otherwise(borrowed).alias("es"))
+    before = lambda i: F.when(i == 0, F.lit(-1)).otherwise(bin_of(F.get("es", i - 1)))
+    own = F.flatten(F.transform("es", lambda e, i: F.array_append(F.array_repeat(F.lit(None).cast("long"), bin_of(e) - before(i) - 1), e)))
+    # k-mers that all fall into one bin still make a pair
+    full = held.select(*keys, own.alias("own"), F.when(F.size("es") == 1, F.array_distinct(F.concat("es", F.array("last")))).otherwise(F.col("es")).alias("es"))
     mask = (1 << POSITION) - 1
 
-    def joined(i: Column) -> Column:
-        a, b = F.get("es", 2 * i), F.get("es", 2 * i + 1)
+    def drawn(seed: Column, other: Column) -> Column:
+        """The element that stands in for an empty bin: the least by the bin's own hash of all but the tuple's other."""
+        ranked = F.transform(F.filter("es", lambda e: ~e.eqNullSafe(other)), lambda e: F.struct(F.xxhash64(F.shiftright(e, POSITION), seed).alias("rank"), e.alias("e")))
+        return F.array_min(ranked)["e"]
+
+    def joined(t: Column) -> Column:
+        a, b = t["a"], t["b"]
         x, y = F.shiftright(a, POSITION), F.shiftright(b, POSITION)
         return F.when(a.bitwiseAND(F.lit(mask)) <= b.bitwiseAND(F.lit(mask)), F.xxhash64(x, y)).otherwise(F.xxhash64(y, x)).bitwiseAND(F.lit(0xFFFF)).cast("int")
 
-    return full.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(params.tuples - 1)), joined).alias("signature"))
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(params.tuples - 1)), lambda i: F.struct(i.alias("i"), F.get("own", 2 * i).alias("a"), F.get("own", 2 * i + 1).alias("b")))
+    pairs = F.transform(pairs, lambda t: F.struct(t["i"].alias("i"), F.coalesce(t["a"], drawn(2 * t["i"], t["b"]), t["b"]).alias("a"), t["b"].alias("b")))
+    pairs = F.transform(pairs, lambda t: F.struct(t["a"].alias("a"), F.coalesce(t["b"], drawn(2 * t["i"] + 1, t["a"]), t["a"]).alias("b")))
+    return full.select(*keys, F.transform(pairs, joined).alias("signature"))
 
 
 def likeness(a: str, b: str, params: OrderMinHashParams = OrderMinHashParams()) -> Column:

@@ -132,6 +132,26 @@ def slow_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
+def test_order_minhash_of_short_texts(spark):
+    """Swapped halves show in short texts too, and unlike ones are not overstated."""
+    rng = random.Random(12)
+    rows, likes = [], {}
+    for n in (10, 30, 60, 300):
+        for i in range(60):
+            ws = [f"{rng.randrange(10**6)}" for _ in range(n)]
+            rows += [(f"{n}", i, "own", " ".join(ws)), (f"{n}", i, "swapped", " ".join(ws[n // 2 :] + ws[: n // 2])), (f"{n}", i, "half", " ".join(ws[: n // 2] + [f"x{w}" for w in ws[: n // 2]]))]
+    rows += [("0", 0, "own", "one two"), ("0", 0, "swapped", "one two"), ("0", 0, "half", "")]
+    told = order_minhash.signatures(spark.createDataFrame(rows, "n string, i int, side string, text string"), ["n", "i", "side"])
+    wide = told.groupBy("n", "i").pivot("side", ["own", "swapped", "half"]).agg({"signature": "first"})
+    for r in wide.select("n", order_minhash.likeness("own", "swapped").alias("s"), order_minhash.likeness("own", "half").alias("h")).collect():
+        likes.setdefault(r.n, []).append((r.s, r.h))
+    assert likes.pop("0") == [(1, 0)]
+    for n, found in likes.items():
+        swapped, half = np.mean(np.square(found), axis=0)
+        assert 0.2 < swapped < 0.75, n  # most k-mers are the same, about half of the pairs are in another order
+        assert half < 0.2, n  # about the square of a third
+
+
 def test_near_duplicates(docs, rows, empty):
     got = covering.near_duplicates(docs).collect()
     prints = [(r[0], slow_print(r[1])) for r in rows]
