@@ -42,7 +42,7 @@ class ChainParams:
 
 def words_of(text: str) -> list[bytes]:
     words = WORDS(text.lower())
-    if len(words) < 50 and not any(c.isalpha() for w in words for c in w):
+    if not any(c.isalpha() for w in words for c in w):
         return []
     return [w.encode() for w in words]
 

@@ -395,6 +395,13 @@ def test_language(docs, rows, empty):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("learn", docs.doc_id == -1), "learn").collect()} == {"und"}
 
 
+def test_language_of_letterless_runs():
+    """Superscripts, fractions and circled numbers make no language, however many."""
+    for n in (49, 50, 500):
+        assert langid.words_of(" ".join(["\u00b2", "\u00bd", "\u2460"][i % 3] for i in range(n))) == []
+        assert len(langid.words_of("\u00b2 " * n + "a")) == n + 1
+
+
 def test_forward_backward():
     rng = np.random.default_rng(4)
     chain = langid.Chain(["a", "b", "c"], np.zeros((4, 3), np.float32), rng.normal(size=(3, 3)), langid.ChainParams())
