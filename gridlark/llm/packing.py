@@ -8,8 +8,8 @@ pieces into full windows, and the last tokens of the partition become sequences
 powers of two, which need no padding. Nothing is shuffled, and a lost task packs its partition again
 in the same way.
 
-Token ids are those of the tokenizer file, with special tokens' strings taken as ordinary text; each
-document ends with one separator id.
+Token ids are those that the tokenizer file's library gives without adding special tokens (a special token's
+string inside a text is that token, as there); each document ends with one separator id.
 
 Defined cases: null and empty texts are one separator id; repeated rows and repeated or null ids are
 packed each by itself; an empty table gives no rows; other columns are ignored, whatever their names.
@@ -60,15 +60,17 @@ class Tokenizer:
         from tokenizers import Tokenizer as Load
 
         self.full = Load.from_file(path)
-        self.full.encode_special_tokens = True
-        letters, special = byte_alphabet(), {t["id"] for t in json.loads(self.full.to_str())["added_tokens"]}
+        added = json.loads(self.full.to_str())["added_tokens"]
+        letters, special = byte_alphabet(), {t["id"] for t in added}
+        self.added = [t["content"] for t in added]
         ranks = {bytes(letters[c] for c in token): i for token, i in self.full.get_vocab(with_added_tokens=True).items() if i not in special}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.other = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ſ‐-‧‰-›€]").search
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if self.other(t)]
-        out = [b"" if self.other(t) else self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() for t in texts]
+        whole = [i for i, t in enumerate(texts) if self.other(t) or any(a in t for a in self.added)]
+        slow = set(whole)
+        out = [b"" if i in slow else self.fast.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() for i, t in enumerate(texts)]
         for i, e in zip(whole, self.full.encode_batch([texts[i] for i in whole], add_special_tokens=False)):
             out[i] = np.array(e.ids, "<u4").tobytes()
         return out

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out labels, on small tables with odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -223,6 +224,17 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty, path, P.PATTERN).count() == 0
 
 
+def test_special_strings_are_the_librarys():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "<|endoftext", "plain text"]
+    full = Tokenizer.from_file(path)
+    got = [np.frombuffer(x, "<u4").tolist() for x in packing.Tokenizer(path, P.PATTERN).encode(texts)]
+    assert got == [full.encode(t, add_special_tokens=False).ids for t in texts] and got[0] == [64, 220, 50256, 275]
+
+
 def test_sum_of_squares_choice():
     p = packing.Packer(packing.PackingParams(window=10), 0)
     rng = random.Random(5)
@@ -271,18 +283,22 @@ def test_flac_odd_samples_and_damage():
             flac.read_streams([bytes(bad)])
 
 
-def test_token_counts(docs, rows, empty):
+def test_token_counts(docs, rows, empty, spark):
     import public_tokenizers as P
+    from sentencepiece import SentencePieceProcessor
 
     path = P.path("piece_bpe_32k.model")
-    v = token_counts.Vocabulary(path, token_counts.UnigramParams())
+    model = SentencePieceProcessor(model_file=path)
+    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    log_sum = math.log(sum(1 / r for r in range(1, len(pieces) + 1)))
+    score, longest = {p: -math.log(r + 1) - log_sum for r, p in enumerate(pieces)}, max(map(len, pieces))
 
     def slow(word):
         best = [(0.0, 0)]
         w = token_counts.MARK + word
         for end in range(1, len(w) + 1):
             width = len(w[end - 1].encode())
-            best.append(max([(best[end - 1][0] + v.params.byte_score * width, best[end - 1][1] - width)] + [(best[a][0] + v.score[w[a:end]], best[a][1] - 1) for a in range(max(0, end - v.longest), end) if w[a:end] in v.score]))
+            best.append(max([(best[end - 1][0] - 16.0 * width, best[end - 1][1] - width)] + [(best[a][0] + score[w[a:end]], best[a][1] - 1) for a in range(max(0, end - longest), end) if w[a:end] in score]))
         return -best[-1][1]
 
     memo: dict = {}
@@ -290,10 +306,15 @@ def test_token_counts(docs, rows, empty):
     for r in rows:
         ws = words_of(r[1])
         assert got[r[0]].n_words == len(ws) and got[r[0]].n_tokens == sum(memo.setdefault(w, slow(w)) if w not in memo else memo[w] for w in ws)
-    tiny = token_counts.Vocabulary(path, token_counts.UnigramParams(nodes=5))
-    trie = token_counts.SharedTrie(tiny)
-    assert [trie.count(w) for w in ("there", "then", "there")] == [slow("there"), slow("then"), slow("there")]
+    # parts, long words and forgotten counts change nothing
+    words = sorted({w for r in rows for w in words_of(r[1])}, key=lambda w: w.encode())
+    for params in (token_counts.UnigramParams(part=7, long=3, kept=5), token_counts.UnigramParams(long=10**9)):
+        shared = token_counts.SharedCounts(token_counts.Vocabulary(path, params))
+        for _ in range(2):
+            assert shared.count([[w.encode() for w in words[:50]], [], [w.encode() for w in words[50:]]]) == [[memo[w] for w in words[:50]], [], [memo[w] for w in words[50:]]]
     assert token_counts.count_tokens(empty, path).count() == 0
+    long = spark.createDataFrame([(1, "ab" * 600_000), (2, "the " * 400_000)], "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_tokens > 0) for r in token_counts.count_tokens(long, path).collect()} == {1: (1, True), 2: (400_000, True)}
 
 
 def test_mixing(docs, rows, empty):
