@@ -167,8 +167,8 @@ query("select_named", "SELECT p_name, p_retailprice * 2 AS double_price FROM par
 query("with_columns_replace", "SELECT p_partkey, upper(p_name) AS p_name, p_size + 1 AS bigger FROM part")(lambda s, d: frame(s, d, "part").select("p_partkey", "p_name", "p_size").with_columns(c("p_name").str.to_uppercase(), bigger=c("p_size") + 1).drop("p_size").df)
 query("drop_cols", "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate FROM orders")(lambda s, d: frame(s, d, "orders").drop("o_totalprice", "absent", columns="o_orderpriority").df)
 query("rename_cols", "SELECT r_regionkey AS id, r_name AS region FROM region")(lambda s, d: frame(s, d, "region").rename({"r_regionkey": "id", "r_name": "region", "no": "x"}).df)
-query("row_index", 'SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS "index", o_orderkey FROM orders')(lambda s, d: frame(s, d, "orders", "o_orderkey").with_row_index().select("index", "o_orderkey").df)
-query("row_index_files", "SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS INTEGER) AS i, c_custkey FROM customer")(lambda s, d: Frame.from_files(tab(s, d, "customer")).with_row_index("i").select("i", "c_custkey").df)
+query("row_index", 'SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS "index", o_orderkey FROM orders')(lambda s, d: frame(s, d, "orders", "o_orderkey").with_row_index().select("index", "o_orderkey").df)
+query("row_index_files", "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, c_custkey FROM customer")(lambda s, d: Frame.from_files(tab(s, d, "customer")).with_row_index("i").select("i", "c_custkey").df)
 query("unpivot_prices", "SELECT p_partkey, variable, value FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS p_size, p_retailprice FROM part) UNPIVOT (value FOR variable IN (p_size, p_retailprice))")(lambda s, d: frame(s, d, "part").with_columns(c("p_size").cast("f64")).unpivot(["p_size", "p_retailprice"], ["p_partkey"]).df)
 query("transpose_named", "SELECT 'key' AS \"column\", '0' AS a, '1' AS b, '2' AS c, '3' AS d, '4' AS e UNION ALL SELECT 'r_name', " + ", ".join(f"max(CASE WHEN r_regionkey = {i} THEN r_name END)" for i in range(5)) + " FROM region")(
     lambda s, d: Frame(tab(s, d, "region").select(F.col("r_regionkey").cast("string").alias("key"), "r_name", F.col("r_regionkey").alias(ORD)), (ORD,)).transpose(["a", "b", "c", "d", "e"], include_header=True).df

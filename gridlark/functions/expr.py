@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
 from pyspark.sql import Window as W
@@ -21,10 +21,16 @@ from gridlark.operators.schema import nearest
 
 @dataclass(frozen=True)
 class Context:
-    """What an expression sees of a frame: (name, type name) pairs and the columns of its row order."""
+    """What an expression sees of a frame: (name, type name) pairs and the columns of its row order.
+
+    partition: the columns of over(), inside it. asked: row-order functions met so far; outside over() the
+    frame computes the i-th of them as column __w<i>.
+    """
 
     columns: tuple[tuple[str, str], ...]
     order: tuple[str, ...] = ()
+    partition: tuple[str, ...] | None = None
+    asked: list = field(default_factory=list, compare=False, repr=False)
 
     @classmethod
     def of(cls, df, order=()) -> Context:
@@ -35,8 +41,9 @@ class Context:
     def names(self) -> list[str]:
         return [n for n, _ in self.columns]
 
-    def window(self, *partition):
-        return W.partitionBy(*partition).orderBy(*[F.col(f"`{o}`") for o in self.order] or [F.lit(0)])
+    def window(self, partition, backward: bool = False):
+        keys = [F.col(f"`{o}`").desc_nulls_last() if backward else F.col(f"`{o}`").asc_nulls_first() for o in self.order]
+        return W.partitionBy(*[quoted(p) for p in partition]).orderBy(*keys or [F.lit(0)])
 
 
 Pairs = list[tuple[str, Column]]
@@ -55,7 +62,7 @@ class Expr:
     def _map(self, f: Callable[..., Column], *others) -> Expr:
         def resolve(ctx: Context) -> Pairs:
             args = [one(o, ctx) for o in others]
-            return [(n, f(c, *args)) for n, c in self.resolve(ctx)]
+            return [(n, f(settle(c), *args)) for n, c in self.resolve(ctx)]
 
         return Expr(resolve)
 
@@ -250,69 +257,84 @@ class Expr:
         """Aggregates become window aggregates; row-order functions run inside each partition."""
 
         def resolve(ctx: Context) -> Pairs:
-            inner = replace(ctx, order=ctx.order)
+            inner = replace(ctx, partition=partition, asked=[])
             out = []
             for n, c in self.resolve(inner):
-                out.append((n, c.of(partition) if isinstance(c, _Pending) else c.over(W.partitionBy(*[quoted(p) for p in partition]))))
+                c = settle(c)
+                out.append((n, c if inner.asked else c.over(W.partitionBy(*[quoted(p) for p in partition]))))
             return out
 
         return Expr(resolve)
 
-    def _running(self, f) -> Expr:
-        return self._ordered(lambda c, ctx: _Pending(c, ctx, f))
+    def _running(self, kind: str, n: int = 0) -> Expr:
+        return self._ordered(lambda c, ctx: _Pending(settle(c), ctx, kind, n))
 
     def cum_sum(self):
-        return self._running(lambda c, w: F.when(c.isNotNull(), F.sum(c).over(w.rowsBetween(W.unboundedPreceding, 0))))
+        return self._running("sum")
 
     def cum_count(self):
-        return self._running(lambda c, w: F.count(c).over(w.rowsBetween(W.unboundedPreceding, 0)))
+        return self._running("count")
 
     def cum_min(self):
-        return self._running(lambda c, w: F.when(c.isNotNull(), F.min(c).over(w.rowsBetween(W.unboundedPreceding, 0))))
+        return self._running("min")
 
     def cum_max(self):
-        return self._running(lambda c, w: F.when(c.isNotNull(), F.max(c).over(w.rowsBetween(W.unboundedPreceding, 0))))
+        return self._running("max")
 
     def shift(self, n: int = 1):
-        return self._running(lambda c, w: F.lag(c, n).over(w))
+        return self._running("shift", n)
 
     def diff(self, n: int = 1):
-        return self._running(lambda c, w: c - F.lag(c, n).over(w))
+        return self._running("diff", n)
 
     def pct_change(self, n: int = 1):
-        return self._running(lambda c, w: F.try_divide(c.cast("double"), F.lag(c, n).over(w)) - 1)
+        return self._running("change", n)
 
     def forward_fill(self):
-        return self._running(lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+        return self._running("forward")
 
     def backward_fill(self):
-        return self._running(lambda c, w: F.first(c, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)))
+        return self._running("backward")
 
     def rank(self):
         """Ranks from 1, ties at their average; nulls have none."""
+        return self._running("rank")
+
 
-        def f(c, ctx, partition):
-            part = W.partitionBy(*[quoted(p) for p in partition])
-            ties = F.count(c).over(W.partitionBy(*[quoted(p) for p in partition], c))
-            return F.when(c.isNotNull(), F.rank().over(part.orderBy(c.asc_nulls_last())) + (ties - 1) / 2)
+FOLDS = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
 
-        return self._ordered(lambda c, ctx: _Pending(c, ctx, None, f))
+
+def moved(kind: str, now: Column, was: Column) -> Column:
+    """A shifted value, the difference from it, or the relative change."""
+    return {"shift": lambda: was, "diff": lambda: now - was, "change": lambda: F.try_divide(now.cast("double"), was) - 1}[kind]()
 
 
 class _Pending:
-    """A row-order function that waits for its partition."""
+    """A row-order function that waits for its partition, or for the frame to compute it by ranges of its order."""
+
+    def __init__(self, column: Column, ctx: Context, kind: str, n: int):
+        self.column, self.ctx, self.kind, self.n = column, ctx, kind, n
 
-    def __init__(self, column, ctx, f, whole=None):
-        self.column, self.ctx, self.f, self.whole = column, ctx, f, whole
+    def settled(self) -> Column:
+        self.ctx.asked.append(self)
+        return quoted(f"__w{len(self.ctx.asked) - 1}") if self.ctx.partition is None else self._of(self.ctx.partition)
 
-    def of(self, partition) -> Column:
-        if self.whole:
-            return self.whole(self.column, self.ctx, partition)
-        return self.f(self.column, self.ctx.window(*[quoted(p) for p in partition]))
+    def _of(self, partition) -> Column:
+        c, so_far = self.column, (W.unboundedPreceding, 0)
+        window = self.ctx.window(partition, self.kind == "backward")
+        if self.kind in FOLDS:
+            run = FOLDS[self.kind](c).over(window.rowsBetween(*so_far))
+            return run if self.kind == "count" else F.when(c.isNotNull(), run)
+        if self.kind in ("forward", "backward"):
+            return F.last(c, ignorenulls=True).over(window.rowsBetween(*so_far))
+        if self.kind == "rank":
+            keys = [quoted(p) for p in partition]
+            return F.when(c.isNotNull(), F.rank().over(W.partitionBy(*keys).orderBy(c.asc_nulls_last())) + (F.count(c).over(W.partitionBy(*keys, c)) - 1) / 2)
+        return moved(self.kind, c, F.lag(c, self.n).over(window))
 
 
 def settle(c) -> Column:
-    return c.of(()) if isinstance(c, _Pending) else c
+    return c.settled() if isinstance(c, _Pending) else c
 
 
 def _order(ctx: Context) -> Column:

@@ -18,10 +18,10 @@ from pyspark.sql import types as T
 
 from gridlark.errors import TooManyValues, UnknownColumn
 from gridlark.functions.dtypes import of_spark
-from gridlark.functions.expr import Context, Expr, as_expr, col, one, quoted, settle
+from gridlark.functions.expr import FOLDS, Context, Expr, as_expr, col, moved, one, quoted, settle
 from gridlark.functions.selectors import Selector
 from gridlark.operators.schema import check_columns, nearest
-from gridlark.plans.order import ORD, Ordered, with_file_order
+from gridlark.plans.order import ORD, Ordered, block_column, cuts_of, with_file_order
 
 MICROS = {"us": 1, "ms": 1000, "s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000, "w": 604_800_000_000}
 
@@ -44,8 +44,8 @@ def _few(rows: DataFrame, what: str, order: Sequence[str] = ()) -> list:
 
 
 class Frame:
-    def __init__(self, df: DataFrame, order: Sequence[str] = ()):
-        self._df, self.order = df, tuple(order)
+    def __init__(self, df: DataFrame, order: Sequence[str] = (), index: Sequence[str] = ()):
+        self._df, self.order, self.index = df, tuple(order), tuple(index)
 
     @classmethod
     def from_files(cls, df: DataFrame) -> Frame:
@@ -71,14 +71,43 @@ class Frame:
 
     def _with(self, df: DataFrame, order: Sequence[str] | None = None) -> Frame:
         order = self.order if order is None else order
-        return Frame(df, order if set(order) <= set(df.columns) else ())
+        return Frame(df, order if set(order) <= set(df.columns) else (), self.index if set(self.index) <= set(df.columns) else ())
 
-    def _pairs(self, exprs: Iterable, named: dict | None = None) -> list[tuple[str, Column]]:
-        ctx, flat = self._ctx(), []
+    def _pairs(self, exprs: Iterable, named: dict | None = None, ctx: Context | None = None) -> list[tuple[str, Column]]:
+        """Names and columns; without a context of the caller's, row-order functions need over()."""
+        given, ctx, flat = ctx, ctx or self._ctx(), []
         for e in exprs:
             flat += list(e) if isinstance(e, (list, tuple)) else [e]
         pairs = [(n, settle(c)) for e in flat for n, c in as_expr(e).resolve(ctx)]
-        return pairs + [(n, one(as_expr(e), ctx)) for n, e in (named or {}).items()]
+        pairs += [(n, one(as_expr(e), ctx)) for n, e in (named or {}).items()]
+        if ctx.asked and given is None:
+            raise ValueError("a row-order function without over() has to be selected first")
+        return pairs
+
+    def _ready(self, ctx: Context) -> Frame:
+        """This frame with the row-order functions that were asked for, each computed by ranges of the order."""
+        if not ctx.asked:
+            return self
+        order, df = self._need_order(), self._df
+        first = Ordered(df, order)
+        for i, p in enumerate(ctx.asked):
+            x, w = f"__x{i}", f"__w{i}"
+            placed = Ordered(df.withColumn(x, p.column), order, like=first)
+            if p.kind in FOLDS:
+                df = placed.cumulative(x, p.kind, w)
+            elif p.kind in ("forward", "backward"):
+                df = placed.fill(x, p.kind == "forward", w)
+            elif p.kind == "rank":
+                ties = placed.df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("__v")).agg(F.count("*").alias("__n"))
+                upto = Ordered(ties, ["__v"]).cumulative("__n", "sum", "__upto")
+                df = placed.df.drop("__block").join(upto, F.col(x) == F.col("__v"), "left").withColumn(w, F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2).drop("__v", "__n", "__upto")
+            else:
+                df = placed.shift([x], p.n, "__was").withColumn(w, moved(p.kind, F.col(x), F.col(x + "__was"))).drop(x + "__was")
+            df = df.drop(x)
+        return self._with(df)
+
+    def _where(self, test: Column, ctx: Context) -> Frame:
+        return self._with(self._ready(ctx)._df.where(test).drop(*[f"__w{i}" for i in range(len(ctx.asked))]))
 
     def _names(self, exprs: Iterable) -> list[str]:
         out: list[str] = []
@@ -104,11 +133,12 @@ class Frame:
     # projection
 
     def select(self, *exprs, **named) -> Frame:
-        return self._select(list(dict(self._pairs(exprs, named)).items()))
+        pairs = dict(self._pairs(exprs, named, ctx := self._ctx()))
+        return self._ready(ctx)._select(list(pairs.items()))
 
     def with_columns(self, *exprs, **named) -> Frame:
-        new = dict(self._pairs(exprs, named))
-        return self._select([(c, new.pop(c, quoted(c))) for c in self.columns] + list(new.items()))
+        new = dict(self._pairs(exprs, named, ctx := self._ctx()))
+        return self._ready(ctx)._select([(c, new.pop(c, quoted(c))) for c in self.columns] + list(new.items()))
 
     assign = with_columns
 
@@ -140,7 +170,7 @@ class Frame:
 
     def with_row_index(self, name: str = "index") -> Frame:
         numbered = Ordered(self._df, self._need_order()).row_index(name)
-        return self._with(numbered.select(F.col(name).cast("int").alias(name), *[quoted(c) for c in self._df.columns]))
+        return self._with(numbered.select(F.col(name), *[quoted(c) for c in self._df.columns]))
 
     with_row_count = with_row_index
 
@@ -162,8 +192,33 @@ class Frame:
     def melt(self, id_vars=(), value_vars=None, var_name: str = "variable", value_name: str = "value") -> Frame:
         return self.unpivot(value_vars, id_vars, var_name, value_name)
 
-    def stack(self) -> Frame:
-        return self.unpivot()
+    def set_index(self, keys) -> Frame:
+        """Columns that name the rows: first in the frame, and what stack and unstack go by."""
+        names = self._names([keys] if isinstance(keys, (str, Expr)) else keys)
+        out = self._select([(c, quoted(c)) for c in [*names, *[c for c in self.columns if c not in names]]])
+        return Frame(out._df, out.order, names)
+
+    def reset_index(self, drop: bool = False) -> Frame:
+        """Index columns become ordinary ones, or go; without an index a row number from 0 comes, unless dropped."""
+        if not self.index:
+            return self if drop else self.with_row_index("index")
+        out = self.drop(*self.index) if drop else self
+        return Frame(out._df, out.order)
+
+    def stack(self, variable_name: str = "variable", value_name: str = "value") -> Frame:
+        """A row for each cell outside the index that is not null."""
+        out = self.unpivot(index=list(self.index), variable_name=variable_name, value_name=value_name)
+        return Frame(out._df.where(quoted(value_name).isNotNull()), (), [*self.index, variable_name])
+
+    def unstack(self, values: str | None = None) -> Frame:
+        """The last index column's values become columns; the frame needs one column besides its index, or `values`."""
+        if not self.index:
+            raise ValueError("unstack needs an index: call set_index first")
+        rest = [values] if values else [c for c in self.columns if c not in self.index]
+        if len(rest) != 1:
+            raise ValueError(f"unstack needs one column of values, not {len(rest)}")
+        out = self.pivot(self.index[-1], list(self.index[:-1]), rest[0])
+        return Frame(out._df, (), self.index[:-1])
 
     def transpose(self, column_names: list[str], include_header: bool = False, header_name: str = "column") -> Frame:
         """Columns become rows; as many rows as there are column_names, each of which names one, in row order."""
@@ -188,7 +243,7 @@ class Frame:
     def filter(self, *predicates, **equal) -> Frame:
         ctx = self._ctx()
         tests = [one(as_expr(p), ctx) for p in predicates] + [quoted(c) == F.lit(v) for c, v in equal.items() if self._known(c)]
-        return self._with(reduce(lambda d, t: d.where(t), tests, self._df))
+        return self._where(reduce(lambda a, b: a & b, tests, F.lit(True)), ctx)
 
     def _known(self, name: str) -> bool:
         if name not in self.columns:
@@ -198,7 +253,7 @@ class Frame:
     def remove(self, *predicates, **equal) -> Frame:
         ctx = self._ctx()
         tests = [one(as_expr(p), ctx) for p in predicates] + [quoted(c) == F.lit(v) for c, v in equal.items() if self._known(c)]
-        return self._with(self._df.where(~F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))))
+        return self._where(~F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False)), ctx)
 
     def query(self, text: str) -> Frame:
         """A predicate in text, with ==, and, or, not."""
@@ -209,8 +264,8 @@ class Frame:
 
     def where(self, predicate, other=None) -> Frame:
         """Keeps cells where the predicate holds; others become `other`."""
-        test = one(as_expr(predicate), self._ctx())
-        return self._select([(c, F.when(test, quoted(c)).otherwise(F.lit(other))) for c in self.columns])
+        test = one(as_expr(predicate), ctx := self._ctx())
+        return self._ready(ctx)._select([(c, F.when(test, quoted(c)).otherwise(F.lit(other))) for c in self.columns])
 
     def mask(self, predicate, other=None) -> Frame:
         return self.where(~as_expr(predicate), other)
@@ -218,7 +273,7 @@ class Frame:
     def _same(self, *_, **__) -> Frame:
         return self
 
-    lazy = collect = clone = rechunk = copy = set_sorted = to_df = fetchdf = from_pandas = from_arrow = set_index = reset_index = _same
+    lazy = collect = clone = rechunk = copy = set_sorted = to_df = fetchdf = from_pandas = from_arrow = _same
 
     def cache(self) -> Frame:
         return self._with(self._df.cache())
@@ -331,10 +386,11 @@ class Frame:
         return self._with(reduce(lambda d, c: d.where(~F.coalesce(F.isnan(quoted(c)), F.lit(False))), real, self._df))
 
     def _each(self, names, f) -> Frame:
-        df, columns = self._df, self._df.columns
-        for c in names or self.columns:
-            df = f(Ordered(df, self._need_order()), c).drop(c).withColumnRenamed("__new", c)
-        return self._with(df.select(*[quoted(c) for c in columns]))
+        columns = self._df.columns
+        first = placed = Ordered(self._df, self._need_order())
+        for c in names or [c for c in self.columns if c not in self.order]:
+            placed = Ordered(f(placed, c).drop(c).withColumnRenamed("__new", c), self.order, like=first)
+        return self._with(placed.df.select(*[quoted(c) for c in columns]))
 
     def forward_fill(self, *columns) -> Frame:
         return self._each(columns, lambda o, c: o.fill(c, True, "__new"))
@@ -347,11 +403,12 @@ class Frame:
     def interpolate(self, *columns) -> Frame:
         """Linear by row place between known neighbours; the ends stay null."""
         names = list(columns) or [c for c, t in self.schema if re.match(r"[iuf]\d", t)]
-        df = Ordered(self._df, self._need_order()).row_index("__i")
+        placed = Ordered(self._df, self._need_order())
+        df = placed.row_index("__i")
         for c in names:
             pair = F.struct(F.col("__i").alias("i"), quoted(c).cast("double").alias("v"))
-            df = Ordered(df, list(self.order)).fill(c, True, "__a", pair)
-            df = Ordered(df, list(self.order)).fill(c, False, "__b", pair)
+            df = Ordered(df, self.order, like=placed).fill(c, True, "__a", pair)
+            df = Ordered(df, self.order, like=placed).fill(c, False, "__b", pair)
             a, b = F.col("__a"), F.col("__b")
             value = F.when(quoted(c).isNotNull(), quoted(c).cast("double")).otherwise(a["v"] + (b["v"] - a["v"]) * (F.col("__i") - a["i"]) / (b["i"] - a["i"]))
             df = df.withColumn(c, value).drop("__a", "__b")
@@ -435,7 +492,7 @@ class Frame:
         found = sorted(self._values(on), key=str)
         return Frame(self._df.groupBy(*[quoted(k) for k in keys]).pivot(on, found).agg(how(quoted(values))))
 
-    pivot_table = unstack = pivot
+    pivot_table = pivot
 
     def crosstab(self, index: str, on: str) -> Frame:
         return Frame(self._df.groupBy(quoted(index)).pivot(on, sorted(self._values(on), key=str)).agg(F.count(F.lit(1))).fillna(0))
@@ -455,23 +512,30 @@ class Frame:
     # other frames
 
     def join(self, other: Frame, on=None, how: str = "inner", left_on=None, right_on=None, suffix: str = "_right") -> Frame:
-        listed = lambda x: [x] if isinstance(x, str) else list(x or [])
-        how = {"outer": "full", "full": "full"}.get(how, how)
-        shared = listed(on)
-        lk, rk = shared or listed(left_on), shared or listed(right_on)
-        check_columns(self.df, lk)
-        check_columns(other.df, rk)
+        listed = lambda x: [x] if isinstance(x, (str, Expr)) else list(x or [])
+        how = {"outer": "full"}.get(how, how)
+        shared = [k for k in listed(on) if isinstance(k, str)]
         mine = self.columns
-        right = other.df.select(*[quoted(c).alias(f"__r_{c}") for c in other.columns])
-        left = self._df
+        left, lk = self._keyed(listed(on) or listed(left_on), "__lk")
+        right, rk = other._keyed(listed(on) or listed(right_on), "__rk")
+        if len(lk) != len(rk):
+            raise ValueError(f"{len(lk)} keys on the left, {len(rk)} on the right")
+        right = right.select(*[quoted(c).alias(f"__r_{c}") for c in right.columns if c != ORD])
         test = reduce(lambda a, b: a & b, [quoted(a) == quoted(f"__r_{b}") for a, b in zip(lk, rk)]) if lk else None
         if how in ("semi", "anti"):
-            return self._with(left.join(right, test, f"left_{how}"))
+            return self._with(left.join(right, test, f"left_{how}").select(*[quoted(c) for c in self._df.columns]))
         both = left.crossJoin(right) if how == "cross" else left.join(right, test, how)
         merged = [(c, F.coalesce(quoted(c), quoted(f"__r_{c}")) if how in ("full", "right") and c in shared else quoted(c)) for c in mine]
         extra = [(c + suffix if c in mine else c, quoted(f"__r_{c}")) for c in other.columns if c not in shared]
         return Frame(both.select(*[c.alias(n) for n, c in [*merged, *extra]]))
 
+    def _keyed(self, keys: list, prefix: str) -> tuple[DataFrame, list[str]]:
+        """The rows with a column for each computed key, and the keys' names."""
+        check_columns(self.df, [k for k in keys if isinstance(k, str)])
+        ctx = self._ctx()
+        made = {f"{prefix}{i}": one(k, ctx) for i, k in enumerate(keys) if isinstance(k, Expr)}
+        return self._ready(ctx)._df.withColumns(made), [k if isinstance(k, str) else f"{prefix}{i}" for i, k in enumerate(keys)]
+
     def merge(self, other: Frame, on=None, how: str = "inner", left_on=None, right_on=None, suffixes: tuple[str, str] = ("_x", "_y")) -> Frame:
         return self.join(other, on, how, left_on, right_on, suffixes[1])
 
@@ -484,8 +548,16 @@ class Frame:
         keys = [f"__k{i}" for i in range(len(lb))]
         left = self.df.select(*[quoted(a).alias(k) for a, k in zip(lb, keys)], quoted(lt).alias("__t"), F.lit(1).alias("__side"), F.struct(*[quoted(c) for c in self.columns]).alias("__l"), F.lit(None).cast(T.StructType([other.df.schema[c] for c in extra])).alias("__r"))
         right = other.df.select(*[quoted(a).alias(k) for a, k in zip(rb, keys)], quoted(rt).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(left.schema["__l"].dataType).alias("__l"), F.struct(*[quoted(c) for c in extra]).alias("__r"))
-        window = W.partitionBy(*keys or [F.lit(0)]).orderBy("__t", "__side").rowsBetween(W.unboundedPreceding, 0)
-        seen = left.unionByName(right).withColumn("__r", F.last("__r", ignorenulls=True).over(window)).where("__side = 1")
+        both = left.unionByName(right)
+        cuts = Ordered(both, [*keys, "__t", "__side"])
+        if keys and cuts.blocks == 1:
+            seen = Ordered(both, ["__t", "__side"], partition=keys).fill("__r", True, "__r")
+        else:
+            # ranges of key and time, so that a common key is spread too; what is carried past the end of a key does not count
+            marked = both.withColumn("__r", F.when(F.col("__side") == 0, F.struct(F.struct(F.lit(0).alias("__z"), *keys).alias("k"), F.col("__r").alias("r"))))
+            near = Ordered(marked, cuts.by, like=cuts).fill("__r", True, "__r")
+            seen = near.withColumn("__r", F.when(F.col("__r.k") == F.struct(F.lit(0).alias("__z"), *keys), F.col("__r.r")))
+        seen = seen.where("__side = 1")
         return Frame(seen.select(*[F.col("__l").getField(c).alias(c) for c in self.columns], *[F.col("__r").getField(c).alias(c + suffix if c in self.columns else c) for c in extra]))
 
     def vstack(self, other: Frame) -> Frame:
@@ -513,9 +585,17 @@ class Frame:
     def rolling(self, index_column: str, period: str, by=(), **aggregates) -> Frame:
         """Aggregates over (t - period, t], one row a row; given as name=expression."""
         keys = [by] if isinstance(by, str) else list(by)
-        at = F.unix_micros(quoted(index_column).cast("timestamp"))
-        window = W.partitionBy(*[quoted(k) for k in keys] or [F.lit(0)]).orderBy(at).rangeBetween(-micros(period) + 1, 0)
-        return self._with(self._df.withColumns({n: one(e, self._ctx()).over(window) for n, e in aggregates.items()}))
+        span = micros(period)
+        df = self._df.withColumn("__at", F.unix_micros(quoted(index_column).cast("timestamp")))
+        # ranges of time; a row also goes to the later ranges that its period reaches into, where it only counts
+        cuts = cuts_of(df, ["__at"], spread=not keys)
+        df = df.withColumn("__own", block_column(df, ["__at"], cuts))
+        df = df.withColumn("__end", F.col("__at") + (span - 1)).withColumn("__until", block_column(df, ["__at"], cuts, named=["__end"]))
+        df = df.withColumn("__block", F.explode(F.sequence("__own", F.coalesce("__until", "__own"))))
+        window = W.partitionBy(*[quoted(k) for k in keys], "__block").orderBy("__at").rangeBetween(-span + 1, 0)
+        ctx = self._ctx()
+        seen = df.withColumns({n: one(e, ctx).over(window) for n, e in aggregates.items()}).where("__own = __block")
+        return self._with(seen.drop("__at", "__own", "__end", "__until", "__block"))
 
     def upsample(self, time_column: str, every: str, by=()) -> Frame:
         """A regular grid from the first to the last time, null where there is no row."""

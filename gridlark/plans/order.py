@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,30 +26,62 @@ def with_file_order(df: DataFrame, name: str = ORD) -> DataFrame:
     return marked.join(begin, "__file").withColumn(name, F.col("__begin") + F.col("__at")).drop("__file", "__at", "__begin")
 
 
-def blocks_of(df: DataFrame, key: str, rows: int = 1_000_000, most: int = 4096) -> tuple[Column, int]:
-    """A block number that grows with a numeric, date or time column, and how many there are: one for about `rows` rows."""
+#: Sampled rows for each block; cuts only balance the blocks, results do not depend on them.
+SAMPLES = 20
+
+
+def _key(by: Sequence[str], named: Sequence[str] | None = None) -> Column:
+    return F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(named or by, by)])
+
+
+def cuts_of(df: DataFrame, by: Sequence[str], rows: int = 200_000, most: int = 4096, spread: bool = True) -> list[Row]:
+    """Where blocks of about `rows` rows begin: values of all order columns together, so ties in the first one do not matter.
+
+    spread: small frames too have blocks for the cluster's cores, down to 10,000 rows each.
+    """
     n = df.count()
-    blocks = max(1, min(most, -(-n // rows)))
+    least = min(df.sparkSession.sparkContext.defaultParallelism, n // 10_000) if spread else 1
+    blocks = max(1, least, min(most, -(-n // rows)))
     if blocks == 1:
-        return F.lit(0), 1
-    as_number = F.col(key).cast("double") if dict(df.dtypes)[key] not in ("timestamp_ntz", "date") else F.unix_micros(F.col(key).cast("timestamp")).cast("double")
-    cuts = df.agg(F.percentile_approx(as_number, [i / blocks for i in range(1, blocks)], 100 * blocks).alias("c")).first()["c"] or []
-    edges = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))])
-    return F.size(F.filter(edges, lambda c: c < as_number)), blocks
+        return []
+    sampled = df.select(_key(by).alias("k")).sample(min(1.0, SAMPLES * blocks / n), seed=7)
+    places = F.transform(F.sequence(F.lit(1), F.lit(blocks - 1)), lambda i: F.get(F.col("s"), (i * F.size("s") / F.lit(blocks)).cast("int")))
+    found = sampled.agg(F.array_sort(F.collect_list("k")).alias("s")).select(F.array_distinct(places).alias("c")).first()["c"]
+    return [c for c in found if c is not None]
+
+
+def block_column(df: DataFrame, by: Sequence[str], cuts: Sequence[Row], wide: int = 64, named: Sequence[str] | None = None) -> Column:
+    """How many cuts lie at or before a row: found among every `wide`-th cut first, then among those in between.
+
+    named: other columns that hold the place looked up.
+    """
+    if not cuts:
+        return F.lit(0)
+    literal = lambda c: F.struct(*[F.lit(c[i]).cast(df.schema[n].dataType).alias(n) for i, n in enumerate(by)])
+    before = lambda edges: F.size(F.filter(edges, lambda c: c <= _key(by, named)))
+    if len(cuts) <= wide:
+        return before(F.array(*[literal(c) for c in cuts]))
+    groups = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
+    first = F.greatest(before(F.array(*[literal(g[0]) for g in groups])) - 1, F.lit(0))
+    return first * wide + before(F.get(F.array(*[F.array(*[literal(c) for c in g]) for g in groups]), first))
 
 
 class Ordered:
-    """A frame with a total order (`by`, whose first column is a number or time) and its blocks."""
+    """A frame with a total order of columns (`by`) and its blocks, which are ranges of that order.
+
+    like: an Ordered over the same rows, whose cuts are taken over.
+    """
 
-    def __init__(self, df: DataFrame, by: Sequence[str], partition: Sequence[str] = (), rows: int = 1_000_000):
+    def __init__(self, df: DataFrame, by: Sequence[str], partition: Sequence[str] = (), rows: int = 200_000, like: Ordered | None = None):
         self.partition, self.by = list(partition), list(by)
         self.columns = df.columns
         # inside user partitions, windows are spread already
-        block, self.blocks = (F.lit(0), 1) if self.partition else blocks_of(df, self.by[0], rows)
-        self.df = df.withColumn("__block", block)
+        self.cuts = like.cuts if like else [] if self.partition else cuts_of(df, self.by, rows)
+        self.blocks = len(self.cuts) + 1
+        self.df = df.withColumn("__block", block_column(df, self.by, self.cuts))
 
-    def _window(self):
-        return W.partitionBy(*self.partition, "__block").orderBy(*[F.col(c).asc_nulls_first() for c in self.by])
+    def _window(self, backward: bool = False):
+        return W.partitionBy(*self.partition, "__block").orderBy(*[F.col(f"`{c}`").desc_nulls_last() if backward else F.col(f"`{c}`").asc_nulls_first() for c in self.by])
 
     def _carried(self, df: DataFrame, last: Column, combine, name: str) -> DataFrame:
         """df and column `name`: `last` of each block, combined over the blocks before (a row each)."""
@@ -81,19 +113,15 @@ class Ordered:
         """The last (or next) value of a column that is not null; value: what is carried, by default the column."""
         c = F.col(f"`{column}`")
         carried = F.when(c.isNotNull(), c if value is None else value)
-        if forward:
-            near = F.last(carried, ignorenulls=True).over(self._window().rowsBetween(W.unboundedPreceding, 0))
-        else:
-            near = F.first(carried, ignorenulls=True).over(self._window().rowsBetween(0, W.unboundedFollowing))
-        df = self.df.withColumn("__near", near)
+        # backwards is forwards in the opposite order: a frame that begins at each row would be run through again for each
+        so_far = (W.unboundedPreceding, 0)
+        df = self.df.withColumn("__near", F.last(carried, ignorenulls=True).over(self._window(not forward).rowsBetween(*so_far)))
         if self.blocks == 1:
             return self._done(df.withColumn(name, F.col("__near")), name)
-        key = F.struct(*self.by)
-        pick = (F.max_by if forward else F.min_by)(carried, F.when(c.isNotNull(), key))
+        pick = (F.max_by if forward else F.min_by)(carried, F.when(c.isNotNull(), _key(self.by)))
         ends = df.groupBy("__block").agg(pick.alias("__last"))
-        order = W.orderBy("__block")
-        frame = order.rowsBetween(W.unboundedPreceding, -1) if forward else order.rowsBetween(1, W.unboundedFollowing)
-        far = ends.select("__block", (F.last if forward else F.first)("__last", ignorenulls=True).over(frame).alias("__far"))
+        order = W.orderBy(F.col("__block").asc() if forward else F.col("__block").desc())
+        far = ends.select("__block", F.last("__last", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("__far"))
         return self._done(df.join(far, "__block", "left").withColumn(name, F.coalesce("__near", "__far")), name)
 
     def shift(self, columns: Sequence[str], n: int, suffix: str) -> DataFrame:
