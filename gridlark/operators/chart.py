@@ -7,7 +7,9 @@ points, and only these leave the executors.
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,7 +18,7 @@ from pyspark.sql import types as T
 
 from gridlark.functions.dtypes import family, is_calendar, number_text, of_spark
 from gridlark.operators.rows import with_row_order
-from gridlark.plans.order import ORD
+from gridlark.plans.order import ORD, Ordered
 
 BARS, BINS, SCATTER, LINE, FEW, SERIES, EXACT, LABEL = 24, 30, 2000, 800, 12, 6, 200, 28
 GRAINS = ("year", "quarter", "month", "week", "day", "hour", "minute", "second")
@@ -35,6 +37,7 @@ class ChartRequest:
     grain: str | None = None
     split: str | None = None
     order: list[str] | None = None  # a total order of rows; by default the files'
+    untyped: bool = False  # text columns come from a source without types: mostly numbers makes a number
 
 
 @dataclass
@@ -86,7 +89,8 @@ class _Charter:
         self.df, self.r = df, request
         self.types = {f.name: of_spark(f.dataType) for f in df.schema.fields}
         self.notes: list[str] = []
-        self.told = False
+        self.nothing: str | None = None
+        self.domain: tuple[float, float] | None = None
 
     # columns as values
 
@@ -95,8 +99,13 @@ class _Charter:
         texts = [c for c in dict.fromkeys((self.r.x, self.r.y)) if c and self.types.get(c) == "str"]
         if texts:
             cells = {c: F.nullif(F.col(f"`{c}`"), F.lit("")) for c in texts}
-            facts = self.df.agg(*[F.bool_and(cells[c].rlike(ISO)).alias(f"i{k}") for k, c in enumerate(texts)], *[F.max(F.char_length(cells[c])).alias(f"l{k}") for k, c in enumerate(texts)]).first()
+            # of the right shape, and a day that its month has
+            dated = lambda c: F.bool_and(c.rlike(ISO) & F.left(c, F.lit(10)).try_cast("date").isNotNull())
+            numbers = lambda c: F.count_if(c.rlike(NUMBER)) >= 0.9 * F.count(c)
+            facts = self.df.agg(*[dated(cells[c]).alias(f"i{k}") for k, c in enumerate(texts)], *[F.max(F.char_length(cells[c])).alias(f"l{k}") for k, c in enumerate(texts)], *[(numbers(cells[c]) & (F.count(cells[c]) > 0)).alias(f"n{k}") for k, c in enumerate(texts)]).first()
             for k, c in enumerate(texts):
+                if self.r.untyped and facts[f"n{k}"]:
+                    self.types[c] = "f64"
                 if facts[f"i{k}"]:
                     self.types[c] = "date" if facts[f"l{k}"] == 10 else "datetime[ms]"
                     zone = F.regexp_replace(F.col(f"`{c}`"), r"([+-]\d{2})(\d{2})?$", "$1:$2")
@@ -133,6 +142,39 @@ class _Charter:
     def period(self, name: str, grain: str) -> Column:
         return F.date_trunc(grain, F.col(f"`{name}`")).cast("timestamp_ntz")
 
+    # what a plan depends on
+
+    def ask(self, parts: dict[str, Column], x: Column | None = None, split: Column | None = None) -> None:
+        """One aggregation over the rows: those without a value in any of the parts are noted, or why there is nothing to draw.
+
+        Also the range of x and about how many values it and the split have.
+        """
+        every = reduce(lambda a, b: a & b, [c.isNotNull() for c in parts.values()])
+        wanted = {"rows": F.count("*"), "all": F.count_if(every)} | {f"c{i}": F.count(c) for i, c in enumerate(parts.values())}
+        if x is not None:
+            kept = F.when(every, x)
+            wanted |= {"low": F.min(kept), "high": F.max(kept), "values": F.approx_count_distinct(kept)}
+        if split is not None:
+            wanted["labels"] = F.approx_count_distinct(split)
+        self.found = self.df.agg(*[c.alias(n) for n, c in wanted.items()]).first().asDict()
+        f = self.found
+        if not f["all"]:
+            empty = next((n for i, n in enumerate(parts) if not f[f"c{i}"]), None)
+            self.nothing = f"{empty} has no value to draw." if empty else f"No row has a value in all of {', '.join(parts)}."
+        elif f["rows"] > f["all"]:
+            n = f["rows"] - f["all"]
+            self.notes.append(f"{n:,} row{'' if n == 1 else 's'} skipped: no value in {' or '.join(parts)}.")
+        if f.get("labels", 0) > SERIES - 1:
+            labels = self.df.select(split.alias("s")).where("s is not null").distinct().count()
+            if labels > SERIES:
+                self.notes.append(f"{list(parts)[-1]} has {labels:,} values; the {SERIES} busiest are drawn.")
+
+    def capped(self, name: str, labels: Column, which: str) -> None:
+        """Says so if there are more bars than are drawn."""
+        n = self.df.select(labels.alias("s")).where("s is not null").distinct().count() if self.found["values"] > BARS - 6 else 0
+        if n > BARS:
+            self.notes.append(f"{name} has {n:,} distinct values; {which}.")
+
     # plans
 
     @staticmethod
@@ -146,12 +188,11 @@ class _Charter:
 
     def histogram(self, name: str) -> DataFrame:
         rows = self.df.select(self.number(name).alias("v"))
-        facts = rows.agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count_if(F.col("v").isNull()).alias("bad"), F.count("v").alias("n")).first()
-        self.skipped(facts["bad"])
-        if not facts["n"]:
+        self.ask({name: self.number(name)}, self.number(name))
+        if self.nothing:
             self.nothing = f"{name} has no numbers."
             return self.out(rows.where(F.lit(False)))
-        low, high = facts["a"], facts["b"]
+        low, high = self.found["low"], self.found["high"]
         self.domain = (low, high)
         if low == high:
             return self.out(rows.where("v is not null").groupBy("v").agg(F.count("*").alias("n")), F.col("v"), F.col("n"), n=F.col("n"))
@@ -162,83 +203,86 @@ class _Charter:
         n = F.coalesce("n", F.lit(0))
         return self.out(grid, F.lit(low) + (F.col("id") + 0.5) * F.lit(width), n, n=n)
 
-    def count_bars(self, label: Column, most: int = BARS) -> DataFrame:
+    def count_bars(self, name: str) -> DataFrame:
+        label = self.label(name)
+        self.ask({name: label}, label)
+        self.capped(name, label, f"the {BARS} with the most rows are drawn")
         counts = self.df.select(label.alias("label")).where("label is not null").groupBy("label").agg(F.count("*").alias("n"))
-        top = counts.orderBy(F.desc("n"), "label").limit(most)
+        top = counts.orderBy(F.desc("n"), *by_text("label")).limit(BARS)
         return self.out(top, y=F.col("n"), label=F.col("label"), n=F.col("n"))
 
-    def aggregate_bars(self, label: Column, y: str, agg: str | None) -> DataFrame:
+    def aggregate_bars(self, name: str, y: str, agg: str | None) -> DataFrame:
+        label = self.label(name)
+        self.ask({name: label, y: self.number(y)}, label)
+        self.capped(name, label, f"the {BARS} largest are drawn")
         rows = self.df.select(label.alias("label"), self.number(y).alias("v")).where("label is not null and v is not null")
         groups = rows.groupBy("label").agg(aggregate(agg, F.col("v")).alias("y"), F.count("*").alias("n"))
-        return self.out(groups.orderBy(F.desc("y"), "label").limit(BARS), y=F.col("y"), label=F.col("label"), n=F.col("n"))
+        return self.out(groups.orderBy(F.desc("y"), *by_text("label")).limit(BARS), y=F.col("y"), label=F.col("label"), n=F.col("n"))
 
-    def strided(self, rows: DataFrame, keys: list[Column], most: int) -> DataFrame:
-        """Every ceil(n / most)-th row of an order, the first included; rows has (x, y, series, __ord)."""
-        total = rows.count()
+    def strided(self, rows: DataFrame, keys: list[str], most: int, among: str | None = None) -> DataFrame:
+        """Every ceil(n / most)-th row of an order, the first included; rows has (x, y, series, __ord). among: what picked the rows besides the asked columns."""
+        total = self.found["all"] if among is None else rows.count()
         stride = max(1, -(-total // most))
-        if stride > 1:
-            self.notes.append(f"every {stride}th of {total:,} rows")
         if stride == 1:
             return rows
-        # numbering a global order: places inside ranges of the key, plus what the ranges before hold
-        ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__mid", F.monotonically_increasing_id())
-        parts = ranged.groupBy(F.shiftright("__mid", 33).alias("__p")).agg(F.count("*").alias("__c"))
-        before = parts.select("__p", (F.sum("__c").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, 0)) - F.col("__c")).alias("__b"))
-        at = F.col("__b") + F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))
-        return ranged.withColumn("__p", F.shiftright("__mid", 33)).join(before, "__p").where(at % stride == 0)
+        self.notes.append(f"Every {stride}th of {total:,} rows is drawn.")
+        return Ordered(rows, keys).row_index("__at").where(F.col("__at") % stride == 0)
 
     def raw_points(self, x: str, y: str, kind: str) -> DataFrame:
+        self.ask({x: self.number(x), y: self.number(y)})
         rows = with_row_order(self.df, self.r.order).select(self.number(x).alias("x"), self.number(y).alias("y"), ORD).where("x is not null and y is not null")
-        keys = [F.col(ORD)] if kind == "scatter" else [F.col("x"), F.col(ORD)]
-        return self.out(self.strided(rows, keys, SCATTER if kind == "scatter" else LINE), F.col("x"), F.col("y"))
+        return self.out(self.strided(rows, [ORD] if kind == "scatter" else ["x", ORD], SCATTER if kind == "scatter" else LINE), F.col("x"), F.col("y"))
 
     def busiest(self, label: Column) -> DataFrame:
-        """The six labels with the most rows; says how many others are left out."""
-        labels = self.df.agg(F.approx_count_distinct(label).alias("n")).first()["n"] if not self.told else 0
-        if labels > SERIES:
-            self.notes.append(f"the {SERIES} busiest of about {labels:,} series")
-        self.told = True
+        """The six labels with the most rows."""
         counts = self.df.select(label.alias("series")).where("series is not null").groupBy("series").agg(F.count("*").alias("__n"))
-        top = counts.orderBy(F.desc("__n"), "series").limit(SERIES)  # six rows at most
-        return top.withColumn("__rank", F.row_number().over(W.orderBy(F.desc("__n"), "series")))
+        return counts.orderBy(F.desc("__n"), *by_text("series")).limit(SERIES).select("series")
 
-    def lines(self, x: Column, y: str | None, agg: str | None, split: Column | None) -> DataFrame:
+    def lines(self, name: str, x: Column, y: str | None, agg: str | None, split: str | None) -> DataFrame:
         """One series for each of the busiest labels over exact x values, or over 30 buckets if these are too many."""
-        value = self.number(y) if y else F.lit(1.0)
-        series = F.lit("") if split is None else split
-        rows = self.df.select(x.alias("x"), value.alias("v"), series.alias("series")).where("x is not null and v is not null and series is not null")
-        distinct = rows.select("x").distinct().limit(EXACT + 1).count()
-        if distinct > EXACT:
-            facts = rows.agg(F.min("x").alias("a"), F.max("x").alias("b")).first()
-            low, width = facts["a"], (facts["b"] - facts["a"]) / BINS
-            self.notes.append(f"{distinct - 1}+ values in {BINS} buckets")
+        label = self.label(split) if split else None
+        self.ask({name: x} | ({y: self.number(y)} if y else {}) | ({split: label} if split else {}), x, label)
+        rows = self.df.select(x.alias("x"), (self.number(y) if y else F.lit(1.0)).alias("v"), (F.lit("") if label is None else label).alias("series")).where("x is not null and v is not null and series is not null")
+        # the estimate is good to a few hundredths; near the limit the values are counted
+        about = self.found["values"]
+        if about > 1.5 * EXACT or about > 0.6 * EXACT and rows.select("x").distinct().limit(EXACT + 1).count() > EXACT:
+            low, width = self.found["low"], (self.found["high"] - self.found["low"]) / BINS
+            self.notes.append(f"{name} has more than {EXACT} values, drawn in {BINS} buckets.")
             bucket = F.least(F.lit(BINS - 1), F.floor((F.col("x") - F.lit(low)) / F.lit(width)))
             rows = rows.withColumn("x", F.lit(low) + (bucket + 0.5) * F.lit(width))
         if split is not None:
             # a semi-join with at most six labels, which the optimizer broadcasts by their size
-            rows = rows.join(self.busiest(split).drop("__n", "__rank"), "series")
+            rows = rows.join(self.busiest(label), "series")
         groups = rows.groupBy("series", "x").agg(aggregate(agg if y else "count", F.col("v")).alias("y"), F.count("*").alias("n"))
         return self.out(groups, F.col("x"), F.col("y"), F.col("series") if split is not None else None, n=F.col("n"))
 
-    def dodged(self, slot: Column, by_measure: bool, y: str | None, agg: str | None, split: Column, slot_x: Column | None = None) -> DataFrame:
-        value = self.number(y) if y else F.lit(1.0)
-        rows = self.df.select(slot.alias("label"), (slot_x if slot_x is not None else F.lit(0.0)).alias("x"), value.alias("v"), split.alias("series")).where("label is not null and v is not null and series is not null")
+    def dodged(self, name: str, by_measure: bool, y: str | None, agg: str | None, split: str) -> DataFrame:
+        slot, label = self.label(name), self.label(split)
+        self.ask({name: slot} | ({y: self.number(y)} if y else {}) | {split: label}, slot, label)
+        rows = self.df.select(slot.alias("label"), (F.lit(0.0) if by_measure else self.number(name)).alias("x"), (self.number(y) if y else F.lit(1.0)).alias("v"), label.alias("series")).where("label is not null and v is not null and series is not null")
         how = agg if y else "count"
-        kept = rows.join(self.busiest(split).drop("__n", "__rank"), "series")
+        kept = rows.join(self.busiest(label), "series")
+        if self.found["values"] > BARS - 6:
+            slots = kept.select("label").distinct().count()
+            if slots > BARS:
+                self.notes.append(f"{name} has {slots:,} slots; " + (f"the {BARS} largest are drawn." if by_measure else f"the first {BARS} are drawn: group it by a period."))
         overall = rows.groupBy("label").agg(aggregate(how, F.col("v")).alias("__m"), F.min("x").alias("x"))
-        order = [F.desc("__m"), F.col("label")] if by_measure else [F.col("x"), F.col("label")]
+        order = [F.desc("__m"), *by_text("label")] if by_measure else [F.col("x"), *by_text("label")]
         slots = overall.join(kept.select("label").distinct(), "label", "left_semi").orderBy(*order).limit(BARS)
         groups = kept.groupBy("label", "series").agg(aggregate(how, F.col("v")).alias("y"), F.count("*").alias("n"))
         joined = groups.join(slots, "label")
         return self.out(joined, None if by_measure else F.col("x"), F.col("y"), F.col("series"), F.col("label"), F.col("n"))
 
-    def split_histogram(self, name: str, split: Column) -> DataFrame:
-        top = self.busiest(split).drop("__n", "__rank")
-        rows = self.df.select(self.number(name).alias("v"), split.alias("series")).where("v is not null and series is not null").join(top, "series")
+    def split_histogram(self, name: str, split: str) -> DataFrame:
+        label, v = self.label(split), self.number(name)
+        self.ask({name: v, split: label}, None, label)
+        top = self.busiest(label)
+        rows = self.df.select(v.alias("v"), label.alias("series")).where("v is not null and series is not null").join(top, "series")
         facts = rows.agg(F.min("v").alias("a"), F.max("v").alias("b")).first()
         if facts["a"] is None:
             return self.out(rows.where(F.lit(False)))
         low, width = facts["a"], (facts["b"] - facts["a"]) / BINS
+        self.domain = (low, facts["b"])
         bin_no = F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.lit(low)) / F.lit(width or 1.0))).cast("bigint")
         counts = rows.groupBy("series", bin_no.alias("id")).agg(F.count("*").alias("n"))
         # every bin of every series, at most 30 by 6: bins come from an exploded sequence
@@ -246,14 +290,27 @@ class _Charter:
         n = F.coalesce("n", F.lit(0))
         return self.out(grid.join(counts, ["series", "id"], "left"), F.lit(low) + (F.col("id") + 0.5) * F.lit(width), n, F.col("series"), n=n)
 
-    def split_scatter(self, x: str, y: str, split: Column) -> DataFrame:
-        rows = with_row_order(self.df, self.r.order).select(self.number(x).alias("x"), self.number(y).alias("y"), split.alias("series"), ORD).where("x is not null and y is not null and series is not null")
-        rows = rows.join(self.busiest(split).drop("__n", "__rank"), "series")
-        return self.out(self.strided(rows, [F.col(ORD)], SCATTER), F.col("x"), F.col("y"), F.col("series"))
+    def split_scatter(self, x: str, y: str, split: str) -> DataFrame:
+        label = self.label(split)
+        self.ask({x: self.number(x), y: self.number(y), split: label}, None, label)
+        rows = with_row_order(self.df, self.r.order).select(self.number(x).alias("x"), self.number(y).alias("y"), label.alias("series"), ORD).where("x is not null and y is not null and series is not null")
+        rows = rows.join(self.busiest(label), "series")
+        return self.out(self.strided(rows, [ORD], SCATTER, split if self.found["labels"] > SERIES - 1 else None), F.col("x"), F.col("y"), F.col("series"))
+
+
+def by_text(name: str) -> list[Column]:
+    """Ties in the order of a dictionary (a A b B é), then of code points."""
+    return [F.collate(F.col(name), "UNICODE"), F.col(name)]
+
 
-    def skipped(self, n: int) -> None:
-        if n:
-            self.notes.append(f"{n:,} rows without a number skipped")
+def bin_edges(kind: str, low: float, high: float) -> list[str]:
+    """A histogram's edges as text: of a date column whose bins are narrower than a day, with the time of day."""
+    width = (high - low) / BINS
+    if family(kind) != "temporal":
+        return axis_text([low + i * width for i in range(BINS + 1)])
+    whole = kind == "date" and width >= 86_400_000
+    at = [dt.datetime(1970, 1, 1) + dt.timedelta(milliseconds=low + i * width) for i in range(BINS + 1)]
+    return [t.strftime("%Y-%m-%d" if whole else "%Y-%m-%d %H:%M:%S") for t in at]
 
 
 def chart(df: DataFrame, request: ChartRequest) -> Chart:
@@ -262,7 +319,6 @@ def chart(df: DataFrame, request: ChartRequest) -> Chart:
     if r.x not in df.columns:
         return Chart("bar", None, empty=f"There is no column {r.x}.")
     c.families()
-    c.domain = c.nothing = None
     x, y, split = r.x, r.y if r.y in df.columns else None, r.split
     fx, fy = family(c.types[x]), family(c.types[y]) if y else None
     if fy and fx == "number" and fy != "number":
@@ -274,7 +330,6 @@ def chart(df: DataFrame, request: ChartRequest) -> Chart:
         split, y = y, None
     elif split and (split in (x, y) or split not in df.columns or family(c.types[split]) == "nested"):
         split = None
-    by = c.label(split) if split else None
     agg = r.agg if r.agg in AGGS else None
     measure = (agg or "mean") if y else "count"
     done = lambda kind, kinds, points, xl=None: Chart(kind, points, kinds, measure, xl or x, f"{measure} of {y}" if y else "count", c.notes, c.nothing, c.domain, bool(y) and measure != "count" and c.types[y].startswith("duration"))
@@ -282,26 +337,26 @@ def chart(df: DataFrame, request: ChartRequest) -> Chart:
         kinds = ["line", "bar", "scatter"]
         kind = r.kind if r.kind in kinds else "line"
         ms = F.floor(F.unix_micros(c.period(x, r.grain).cast("timestamp")) / 1000).cast("double")
-        return done(kind, kinds, c.lines(ms, y, agg, by), f"{x} by {r.grain}")
+        return done(kind, kinds, c.lines(x, ms, y, agg, split), f"{x} by {r.grain}")
     if split:
         kinds = split_kinds(fx, y)
         kind = r.kind if r.kind in kinds else kinds[0]
         if kind == "histogram":
-            return done(kind, kinds, c.split_histogram(x, by))
+            return done(kind, kinds, c.split_histogram(x, split))
         if kind == "scatter" and y:
-            return done(kind, kinds, c.split_scatter(x, y, by))
+            return done(kind, kinds, c.split_scatter(x, y, split))
         if kind == "bar":
-            return done(kind, kinds, c.dodged(c.label(x), fx == "category", y, agg, by, None if fx == "category" else c.number(x)))
-        return done(kind, kinds, c.lines(c.number(x), y, agg, by))
+            return done(kind, kinds, c.dodged(x, fx == "category", y, agg, split))
+        return done(kind, kinds, c.lines(x, c.number(x), y, agg, split))
     if y:
         kinds = kinds_for(fx, fy)
         kind = r.kind if r.kind in kinds else kinds[0]
         if fx == "category":
-            return done(kind, kinds, c.aggregate_bars(c.label(x), y, agg))
+            return done(kind, kinds, c.aggregate_bars(x, y, agg))
         return done(kind, kinds, c.raw_points(x, y, kind))
     kinds = kinds_for(fx)
     kind = r.kind if r.kind in kinds else ("bar" if fx == "number" and c.few_values(x) else kinds[0])
-    return done(kind, kinds, c.histogram(x) if kind == "histogram" else c.count_bars(c.label(x)))
+    return done(kind, kinds, c.histogram(x) if kind == "histogram" else c.count_bars(x))
 
 
 def axis_text(values: list[float]) -> list[str]:

@@ -73,6 +73,13 @@ def sorted_page(df: DataFrame, column: str, desc: bool = False, start: int = 0,
     return placed.where(F.col("__place") >= start).select(*[F.col(f"`{c}`") for c in pick(df, columns)], F.col("__place").alias("place"))
 
 
+def series(df: DataFrame, columns: list[str], max_rows: int | None = None, order: list[str] | None = None, most: int = 3) -> DataFrame:
+    """The values of up to three columns, unformatted, with their row number; names that do not exist are left out."""
+    known = [c for c in dict.fromkeys(columns) if c in df.columns][:most]
+    rows = with_row_order(df, order).select(*[F.col(f"`{c}`") for c in known], ORD)
+    return rows if max_rows is None else rows.where(F.col(ORD) < max_rows)
+
+
 @dataclass
 class RowPage:
     columns: list[str]

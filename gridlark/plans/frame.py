@@ -18,10 +18,10 @@ from pyspark.sql import types as T
 
 from gridlark.errors import TooManyValues, UnknownColumn
 from gridlark.functions.dtypes import of_spark
-from gridlark.functions.expr import FOLDS, Context, Expr, as_expr, col, moved, one, quoted, settle
+from gridlark.functions.expr import Context, Expr, as_expr, col, moved, one, quoted, settle
 from gridlark.functions.selectors import Selector
 from gridlark.operators.schema import check_columns, nearest
-from gridlark.plans.order import ORD, Ordered, block_column, cuts_of, with_file_order
+from gridlark.plans.order import FOLDS, ORD, Ordered, block_column, cuts_of, with_file_order
 
 MICROS = {"us": 1, "ms": 1000, "s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000, "w": 604_800_000_000}
 
@@ -90,22 +90,35 @@ class Frame:
             return self
         order, df = self._need_order(), self._df
         first = Ordered(df, order)
-        for i, p in enumerate(ctx.asked):
-            x, w = f"__x{i}", f"__w{i}"
-            placed = Ordered(df.withColumn(x, p.column), order, like=first)
-            if p.kind in FOLDS:
-                df = placed.cumulative(x, p.kind, w)
-            elif p.kind in ("forward", "backward"):
-                df = placed.fill(x, p.kind == "forward", w)
-            elif p.kind == "rank":
-                ties = placed.df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("__v")).agg(F.count("*").alias("__n"))
-                upto = Ordered(ties, ["__v"]).cumulative("__n", "sum", "__upto")
-                df = placed.df.drop("__block").join(upto, F.col(x) == F.col("__v"), "left").withColumn(w, F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2).drop("__v", "__n", "__upto")
-            else:
-                df = placed.shift([x], p.n, "__was").withColumn(w, moved(p.kind, F.col(x), F.col(x + "__was"))).drop(x + "__was")
-            df = df.drop(x)
+        todo = list(enumerate(ctx.asked))
+        while todo:
+            # those that need no other that is still to be computed go together
+            ready = [(i, p) for i, p in todo if not any(f"__w{j}" in str(p.column) for j, _ in todo)]
+            todo = [t for t in todo if t not in ready]
+            df = self._computed(df, first, ready)
         return self._with(df)
 
+    def _computed(self, df: DataFrame, first: Ordered, asked: list) -> DataFrame:
+        x, w = (lambda i: f"__x{i}"), (lambda i: f"__w{i}")
+        df = df.withColumns({x(i): p.column for i, p in asked})
+        running = [(i, p) for i, p in asked if p.kind in FOLDS or p.kind in ("forward", "backward")]
+        if running:
+            df = Ordered(df, first.by, like=first).many([(p.kind, F.col(x(i)), w(i)) for i, p in running])
+            df = df.withColumns({w(i): F.when(F.col(x(i)).isNotNull(), F.col(w(i))) for i, p in running if p.kind in ("sum", "min", "max")})
+        moves: dict[int, list] = {}
+        for i, p in asked:
+            if p.kind in ("shift", "diff", "change"):
+                moves.setdefault(p.n, []).append((i, p))
+        for n, some in moves.items():
+            df = Ordered(df, first.by, like=first).shift([x(i) for i, _ in some], n, "__was")
+            df = df.withColumns({w(i): moved(p.kind, F.col(x(i)), F.col(x(i) + "__was")) for i, p in some}).drop(*[x(i) + "__was" for i, _ in some])
+        for i, p in asked:
+            if p.kind == "rank":
+                ties = df.where(F.col(x(i)).isNotNull()).groupBy(F.col(x(i)).alias("__v")).agg(F.count("*").alias("__n"))
+                upto = Ordered(ties, ["__v"]).cumulative("__n", "sum", "__upto")
+                df = df.join(upto, F.col(x(i)) == F.col("__v"), "left").withColumn(w(i), F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2).drop("__v", "__n", "__upto")
+        return df.drop(*[x(i) for i, _ in asked])
+
     def _where(self, test: Column, ctx: Context) -> Frame:
         return self._with(self._ready(ctx)._df.where(test).drop(*[f"__w{i}" for i in range(len(ctx.asked))]))
 
@@ -385,18 +398,16 @@ class Frame:
         real = [c for c in subset or self.columns if isinstance(self._df.schema[c].dataType, (T.DoubleType, T.FloatType))]
         return self._with(reduce(lambda d, c: d.where(~F.coalesce(F.isnan(quoted(c)), F.lit(False))), real, self._df))
 
-    def _each(self, names, f) -> Frame:
-        columns = self._df.columns
-        first = placed = Ordered(self._df, self._need_order())
-        for c in names or [c for c in self.columns if c not in self.order]:
-            placed = Ordered(f(placed, c).drop(c).withColumnRenamed("__new", c), self.order, like=first)
-        return self._with(placed.df.select(*[quoted(c) for c in columns]))
+    def _filled(self, names, kind: str) -> Frame:
+        names = names or [c for c in self.columns if c not in self.order]
+        filled = Ordered(self._df, self._need_order()).many([(kind, quoted(c), f"__f_{c}") for c in names])
+        return self._with(filled.select(*[quoted(f"__f_{c}").alias(c) if c in names else quoted(c) for c in self._df.columns]))
 
     def forward_fill(self, *columns) -> Frame:
-        return self._each(columns, lambda o, c: o.fill(c, True, "__new"))
+        return self._filled(columns, "forward")
 
     def backward_fill(self, *columns) -> Frame:
-        return self._each(columns, lambda o, c: o.fill(c, False, "__new"))
+        return self._filled(columns, "backward")
 
     ffill, bfill = forward_fill, backward_fill
 
@@ -405,14 +416,14 @@ class Frame:
         names = list(columns) or [c for c, t in self.schema if re.match(r"[iuf]\d", t)]
         placed = Ordered(self._df, self._need_order())
         df = placed.row_index("__i")
-        for c in names:
-            pair = F.struct(F.col("__i").alias("i"), quoted(c).cast("double").alias("v"))
-            df = Ordered(df, self.order, like=placed).fill(c, True, "__a", pair)
-            df = Ordered(df, self.order, like=placed).fill(c, False, "__b", pair)
-            a, b = F.col("__a"), F.col("__b")
-            value = F.when(quoted(c).isNotNull(), quoted(c).cast("double")).otherwise(a["v"] + (b["v"] - a["v"]) * (F.col("__i") - a["i"]) / (b["i"] - a["i"]))
-            df = df.withColumn(c, value).drop("__a", "__b")
-        return self._with(df.select(*[quoted(c) for c in self._df.columns]))
+        pair = {c: F.when(quoted(c).isNotNull(), F.struct(F.col("__i").alias("i"), quoted(c).cast("double").alias("v"))) for c in names}
+        df = Ordered(df, self.order, like=placed).many([(kind, pair[c], f"__{kind}_{c}") for c in names for kind in ("forward", "backward")])
+
+        def line(c: str) -> Column:
+            a, b = quoted(f"__forward_{c}"), quoted(f"__backward_{c}")
+            return F.when(quoted(c).isNotNull(), quoted(c).cast("double")).otherwise(a["v"] + (b["v"] - a["v"]) * (F.col("__i") - a["i"]) / (b["i"] - a["i"]))
+
+        return self._with(df.select(*[line(c).alias(c) if c in names else quoted(c) for c in self._df.columns]))
 
     def shift(self, n: int = 1) -> Frame:
         moved = Ordered(self._df, self._need_order()).shift(self.columns, n, "__moved")
@@ -550,7 +561,7 @@ class Frame:
         right = other.df.select(*[quoted(a).alias(k) for a, k in zip(rb, keys)], quoted(rt).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(left.schema["__l"].dataType).alias("__l"), F.struct(*[quoted(c) for c in extra]).alias("__r"))
         both = left.unionByName(right)
         cuts = Ordered(both, [*keys, "__t", "__side"])
-        if keys and cuts.blocks == 1:
+        if keys and not cuts.cuts:
             seen = Ordered(both, ["__t", "__side"], partition=keys).fill("__r", True, "__r")
         else:
             # ranges of key and time, so that a common key is spread too; what is carried past the end of a key does not count

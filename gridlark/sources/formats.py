@@ -6,10 +6,11 @@ import json
 import re
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -126,17 +127,23 @@ def delta_state(spark: SparkSession, path: str) -> tuple[T.StructType, list[str]
     actions = []
     if base >= 0:
         saved = spark.read.parquet(*checkpoints[base])
-        # only rows that say something are read past the row-group statistics
+        has = lambda field, name: field in saved.columns and name in saved.schema[field].dataType.fieldNames()
+        none = {"schema": "string", "by": "array<string>", "mapping": "string", "path": "string", "live": "boolean", "values": "map<string,string>", "marked": "boolean"}
+        action = lambda rows, **own: rows.select(F.lit(base).cast("bigint").alias("v"), *[(own[n] if n in own else F.lit(None)).cast(t).alias(n) for n, t in none.items()])
+        # tests of leaves, which reach the row groups' null counts
         if "metaData" in saved.columns:
-            actions.append(saved.where("metaData is not null").select(F.lit(base).alias("v"), F.col("metaData.schemaString").alias("schema"), F.col("metaData.partitionColumns").alias("by"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("boolean").alias("live"), F.lit(None).cast("map<string,string>").alias("values")))
+            mapping = F.col("metaData.configuration")["delta.columnMapping.mode"] if has("metaData", "configuration") else F.lit(None)
+            actions.append(action(saved.where("metaData.schemaString is not null"), schema=F.col("metaData.schemaString"), by=F.col("metaData.partitionColumns"), mapping=mapping))
         if "add" in saved.columns:
-            actions.append(saved.where("add is not null").select(F.lit(base).alias("v"), F.lit(None).cast("string").alias("schema"), F.lit(None).cast("array<string>").alias("by"), F.col("add.path").alias("path"), F.lit(True).alias("live"), F.col("add.partitionValues").cast("map<string,string>").alias("values")))
+            marked = F.col("add.deletionVector").isNotNull() if has("add", "deletionVector") else F.lit(False)
+            actions.append(action(saved.where("add.path is not null"), path=F.col("add.path"), live=F.lit(True), values=F.col("add.partitionValues"), marked=marked))
     later = [v for v in versions if v > base]
     if later:
-        kind = "metaData struct<schemaString:string,partitionColumns:array<string>>, add struct<path:string,partitionValues:map<string,string>>, remove struct<path:string>"
+        kind = "metaData struct<schemaString:string,partitionColumns:array<string>,configuration:map<string,string>>, add struct<path:string,partitionValues:map<string,string>,deletionVector:struct<storageType:string>>, remove struct<path:string>"
         lines = spark.read.schema(kind).json([f"{log}/{v:020d}.json" for v in later])
         v = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)", 1).cast("bigint").alias("v")
-        actions.append(lines.select(v, F.col("metaData.schemaString").alias("schema"), F.col("metaData.partitionColumns").alias("by"), F.coalesce("add.path", "remove.path").alias("path"), F.when(F.col("add.path").isNotNull(), True).when(F.col("remove.path").isNotNull(), False).alias("live"), F.col("add.partitionValues").alias("values")))
+        live = F.when(F.col("add.path").isNotNull(), True).when(F.col("remove.path").isNotNull(), False)
+        actions.append(lines.select(v, F.col("metaData.schemaString").alias("schema"), F.col("metaData.partitionColumns").alias("by"), F.col("metaData.configuration")["delta.columnMapping.mode"].alias("mapping"), F.coalesce("add.path", "remove.path").alias("path"), live.alias("live"), F.col("add.partitionValues").alias("values"), F.col("add.deletionVector").isNotNull().alias("marked")))
     if not actions:
         raise SourceError(f"no Delta log in {path}")
     log_rows = actions[0]
@@ -145,25 +152,40 @@ def delta_state(spark: SparkSession, path: str) -> tuple[T.StructType, list[str]
     newest = log_rows.where("schema is not null").orderBy(F.desc("v")).first()
     if newest is None:
         raise SourceError(f"no schema in the log of {path}")
-    live = log_rows.where("path is not null").groupBy("path").agg(F.max_by(F.struct("live", "values"), F.struct("v", "live")).alias("s")).where("s.live").select("path", "s.values")
+    if newest["mapping"] not in (None, "none"):
+        raise SourceError(f"{path} maps its columns to other names in its files ({newest['mapping']}), which is not read")
+    live = log_rows.where("path is not null").groupBy("path").agg(F.max_by(F.struct("live", "values", "marked"), F.struct("v", "live")).alias("s")).where("s.live").select("path", "s.values", "s.marked")
     return T.StructType.fromJson(json.loads(newest["schema"])), list(newest["by"] or []), live
 
 
+def _full_path(path: Column) -> Column:
+    """A file's URL as text: decoded, with one slash after the scheme."""
+    return F.regexp_replace(F.url_decode(F.regexp_replace(path, r"\+", "%2B")), r"^([a-zA-Z][a-zA-Z0-9+.-]*):/+", "$1:/")
+
+
 def read_delta(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a Delta table's newest version. The live files' names are the one thing that the driver lists, as for any Spark read."""
+    """Rows of a Delta table's newest version. The live files' names are the one thing that the driver lists, as for any Spark read.
+
+    Paths in the log are URL-encoded. Tables whose rows need more than their files (deletion vectors, column mapping) raise.
+    """
     schema, by, live = delta_state(spark, path)
-    files = [r["path"] for r in live.select("path").collect()]
-    if not files:
+    listed = live.select("path", "marked").collect()
+    if not listed:
         return spark.createDataFrame([], schema)
+    if any(r["marked"] for r in listed):
+        raise SourceError(f"{path} has deletion vectors, which are not read: some rows of its files are deleted")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    absolute = r"^([a-zA-Z][a-zA-Z0-9+.-]*:)?/"
+    place = lambda f: f if re.match(absolute, f) else f"{path}/{f}"
     body = T.StructType([f for f in schema.fields if f.name not in by])
-    places = [f if "://" in f or f.startswith("/") else f"{path}/{f}" for f in files]
-    df = spark.read.schema(body).parquet(*places)
+    df = spark.read.schema(body).parquet(*[place(unquote(r["path"])) for r in listed])
     if by:
-        key = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/?[^/]*)$", 1)
-        df = df.withColumn("__file", F.element_at(F.split("_metadata.file_path", "/"), -1))
-        parts = live.select(F.element_at(F.split("path", "/"), -1).alias("__file"), *[F.col("values")[b].alias(b) for b in by])
-        df = df.join(parts, "__file").drop("__file")
-        del key
+        scheme = root.split(":")[0]
+        full = F.when(F.col("path").rlike(r"^/"), F.concat(F.lit(f"{scheme}:"), "path")).when(F.col("path").rlike(absolute), F.col("path"))
+        whole = F.coalesce(_full_path(full), F.concat(F.lit(re.sub(r":/+", ":/", root, count=1) + "/"), _full_path(F.col("path"))))
+        parts = live.select(whole.alias("__file"), *[F.col("values")[b].alias(b) for b in by])
+        df = df.withColumn("__file", _full_path(F.col("_metadata.file_path"))).join(parts, "__file").drop("__file")
     return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
@@ -276,3 +298,18 @@ def literal_frame(spark: SparkSession, data: dict[str, list] | list[dict]) -> Da
     kinds = {n: literal_type(v) for n, v in data.items()}
     made = [[float(x) if isinstance(kinds[n], T.DoubleType) and x is not None else x for x in v] for n, v in data.items()]
     return spark.createDataFrame(list(zip(*made)), T.StructType([T.StructField(n, k) for n, k in kinds.items()]))
+
+
+def from_dict(spark: SparkSession, data: dict[str, list]) -> DataFrame:
+    """Columns by name, all equally long."""
+    if len({len(v) for v in data.values()}) > 1:
+        raise SourceError("columns of different lengths: " + ", ".join(f"{n} {len(v)}" for n, v in data.items()))
+    return literal_frame(spark, data)
+
+
+def from_dicts(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    return literal_frame(spark, rows)
+
+
+#: The constructors' public names; the lazy one is the same here.
+CONSTRUCTORS = {"DataFrame": literal_frame, "LazyFrame": literal_frame, "from_dict": from_dict, "from_dicts": from_dicts}

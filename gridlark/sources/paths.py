@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
-import urllib.request
+import uuid
 from collections.abc import Iterable
 from glob import has_magic
 from glob import glob as expand
 from pathlib import Path
 
-from gridlark.errors import FileMissing, UnsupportedScheme
+from gridlark.errors import FileMissing, SourceError, UnsupportedScheme
 
 EXTENSIONS = {
     "parquet": (".parquet", ".pq"), "csv": (".csv", ".tsv", ".txt"), "ipc": (".arrow", ".ipc", ".feather"), "json": (".json", ".ndjson", ".jsonl"), "excel": (".xlsx", ".xlsm"),
@@ -48,9 +47,7 @@ def resolve(path: str, roots: Iterable[str] = (), allow_http: bool = False) -> s
     scheme = re.match(r"([a-zA-Z][a-zA-Z0-9+.-]+)://", path)
     if scheme:
         if scheme[1] in ("http", "https") and allow_http:
-            local = os.path.join(tempfile.mkdtemp(prefix="gridlark-"), os.path.basename(path) or "download")
-            urllib.request.urlretrieve(path, local)
-            return local
+            return path
         if scheme[1] in ("file", "hdfs", "viewfs"):
             return path
         raise UnsupportedScheme(path)
@@ -65,6 +62,18 @@ def resolve(path: str, roots: Iterable[str] = (), allow_http: bool = False) -> s
     raise FileMissing(path)
 
 
+def fetched(spark, url: str) -> str:
+    """A copy of a web file in the folder that all machines share (spark.checkpoint.dir), where tasks can read it in ranges."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise SourceError("spark.checkpoint.dir is not set: a web file is copied to the folder that all machines share")
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    to = jvm.org.apache.hadoop.fs.Path(f"{shared}/gridlark/web-{uuid.uuid4().hex}/{os.path.basename(url.split('?')[0]) or 'download'}")
+    source = jvm.java.net.URI(url).toURL().openStream()
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, to.getFileSystem(conf).create(to), conf, True)
+    return to.toString()
+
+
 def files_of(path: str, kind: str, depth: int = 5) -> list[str]:
     """Files of a kind under a path or glob, in order, files of a folder before those of its subfolders."""
     if has_magic(path):

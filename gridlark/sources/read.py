@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridlark.errors import SourceError, UnsupportedFormat
 from gridlark.sources import formats, text
-from gridlark.sources.paths import files_of, kind_of, options, resolve
+from gridlark.sources.paths import fetched, files_of, kind_of, options, resolve
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -18,6 +18,8 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 def read(spark: SparkSession, path: str, kind: str | None = None, roots: tuple[str, ...] = (), allow_http: bool = False, first_file: bool = False, **given) -> DataFrame:
     """A lazy frame of a source. All files of a folder or glob are read; first_file takes the first one only."""
     place = resolve(path, roots, allow_http)
+    if place.startswith(("http://", "https://")):
+        place = fetched(spark, place)
     kind = kind or kind_of(place) or next((kind_of(f) for k in ("parquet", "csv", "json", "ipc") for f in files_of(place, k)[:1]), None)
     if first_file and kind in ("parquet", "csv", "json", "ipc"):
         place = (files_of(place, kind) or [place])[0]

@@ -77,7 +77,7 @@ def csv_schema(head: str, infer_types: bool = False, complete: bool = True, **op
 
 
 def read_csv(spark: SparkSession, path: str, infer_types: bool = False, **options) -> DataFrame:
-    """All rows of CSV files; cells that do not fit an inferred type are null."""
+    """All rows of CSV files. A cell that does not fit its column's inferred type is an error, or null with ignore_errors."""
     head = head_of(spark, path)
     columns = csv_schema(head, infer_types, len(head.encode()) < HEAD, **options)
     separator, comment, skip = options.get("separator", ","), options.get("comment_prefix"), options.get("skip_rows", 0)
@@ -98,7 +98,8 @@ def read_csv(spark: SparkSession, path: str, infer_types: bool = False, **option
     else:
         reader = spark.read.schema(fields).option("sep", separator).option("quote", quote or "").option("escape", quote or "").option("header", header).option("enforceSchema", True).option("multiLine", bool(quote))
         df = (reader.option("comment", comment) if comment else reader).csv(path)
-    return df.select(*[F.col(f"c{i}").try_cast(SPARK[t]).alias(n) if t not in ("", "str") else F.col(f"c{i}").alias(n) for i, (n, t) in enumerate(columns)])
+    fit = lambda c, t: c.try_cast(t) if options.get("ignore_errors") else F.coalesce(c.try_cast(t), F.when(c.isNotNull(), F.raise_error(F.concat(F.lit(f"not a {t}: "), c)).cast(t)))
+    return df.select(*[fit(F.col(f"c{i}"), SPARK[t]).alias(n) if t not in ("", "str") else F.col(f"c{i}").alias(n) for i, (n, t) in enumerate(columns)])
 
 
 def objects(text: str, most: int = JSON_ROWS) -> list[dict]:

@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from gridlark.operators.chart import ChartRequest, chart, default_axis, kinds_for, split_kinds, ticks
+from gridlark.operators.chart import ChartRequest, bin_edges, chart, default_axis, kinds_for, split_kinds, ticks
 
 
 def frame(spark, schema, rows):
@@ -93,3 +93,35 @@ def test_tables_of_kinds():
     assert split_kinds("number", None) == ["histogram", "bar", "line"] and split_kinds("temporal", "y") == ["line", "scatter", "bar"]
     assert default_axis([("a", "str"), ("b", "i64")]) == "b" and default_axis([("l", "list[i64]"), ("a", "str")]) == "a"
     assert ticks(0, 1) == [0, 0.25, 0.5, 0.75, 1]
+
+
+def test_notes_and_reasons(spark):
+    said = lambda c, what: any(what in n for n in c.notes)
+    of = lambda rows, schema, **r: chart(spark.createDataFrame(rows, schema), ChartRequest(**r))
+    assert said(of([(f"o{i}",) for i in range(200)], "x string", x="x"), "200 distinct values")
+    assert said(of([(1.0,), (None,), (3.0,), (None,)], "v double", x="v"), "2 rows skipped")
+    assert said(of([("EU", 1.0), ("US", None), (None, 3.0)], "x string, v double", x="x", y="v"), "2 rows skipped")
+    split = of([(f"r{i % 3}", None if i == 0 else f"c{i % 9}") for i in range(90)], "x string, g string", x="x", split="g")
+    assert said(split, "g has 9 values; the 6 busiest") and said(split, "1 row skipped")
+    days = of([(dt.date(2026, 1, 1) + dt.timedelta(i), 1, "EU" if i % 2 else "US") for i in range(40)], "x date, n bigint, g string", x="x", y="n", split="g", kind="bar")
+    assert said(days, "the first 24 are drawn") and days.points.select("x").distinct().count() == 24
+    few = of([(f"s{i}", f"g{i}") for i in range(6) for _ in range(10)] + [(f"s{i}", f"rare{i}") for i in range(6, 30)], "x string, g string", x="x", split="g")
+    assert few.points.select("label").distinct().count() == 6 and not said(few, "slots")
+    assert of([("EU", 1.0, None), ("US", 2.0, "")], "x string, v double, g string", x="x", y="v", split="g").empty == "g has no value to draw."
+    assert of([("a", None, "x"), ("b", None, "y")], "x string, v double, g string", x="x", y="v", split="g").empty == "v has no value to draw."
+    assert of([("a", None), (None, "y")], "x string, g string", x="x", split="g").empty == "No row has a value in all of x, g."
+
+
+def test_families_of_text(spark):
+    kind = lambda rows, **r: chart(spark.createDataFrame([(v,) for v in rows], "x string"), ChartRequest(x="x", **r)).kind
+    assert kind([str(i) for i in range(40)], untyped=True) == "histogram" and kind([str(i) for i in range(40)]) == "bar"
+    assert kind([*[str(i) for i in range(40)], "n/a"], untyped=True) == "histogram" and kind(["EU", "US", "1"], untyped=True) == "bar"
+    # a day that its month does not have makes the column text
+    assert kind(["2026-02-28", "2026-02-27"], grain="month") == "line" and kind(["2026-02-28", "2026-02-30"], grain="month") == "bar"
+
+
+def test_ties_and_edges(spark):
+    c = chart(spark.createDataFrame([(v,) for v in "BbAaé"], "x string"), ChartRequest(x="x"))
+    assert [r.label for r in c.points.collect()] == ["a", "A", "b", "B", "é"]
+    day = 86_400_000.0
+    assert bin_edges("date", 0, 30 * day)[:2] == ["1970-01-01", "1970-01-02"] and bin_edges("date", 0, 15 * day)[1] == "1970-01-01 12:00:00" and len(bin_edges("f64", 0, 30)) == 31

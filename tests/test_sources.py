@@ -1,16 +1,20 @@
 """Readers over files written here."""
 
+import functools
+import http.server
 import json
+import threading
 import zipfile
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from gridlark.errors import FileMissing, UnsupportedFormat, UnsupportedScheme
+from gridlark.errors import FileMissing, SourceError, UnsupportedFormat, UnsupportedScheme
 from gridlark.functions.dtypes import cell_text, duration_text, family, number_text, of_arrow, size_text
-from gridlark.operators.rows import frequent_values, read_page
+from gridlark.operators.rows import frequent_values, page, read_page, series, sorted_page
 from gridlark.operators.schema import all_columns, check_columns, nearest, parquet_facts, struct_field
+from gridlark.plans.order import ORD
 from gridlark.sources import formats, text
 from gridlark.sources.paths import files_of, hive_values, kind_of, options, resolve
 from gridlark.sources.read import read
@@ -141,3 +145,86 @@ def test_names(spark):
     df = spark.createDataFrame([(1, (2, "x"))], "a int, s struct<b:int,c:string>")
     assert struct_field(df.schema, "s.c").simpleString() == "string" and struct_field(df.schema, "s.z") is None and all_columns([df])["s"] == "struct[2]"
     check_columns(df, ["a"])
+
+
+def test_pages_of_text_sources(spark, tmp_path):
+    rows = [(i, f"n{i}") for i in range(300)]
+    (tmp_path / "csv").mkdir()
+    for k in range(3):
+        (tmp_path / f"csv/{k}.csv").write_text("a,b\n" + "".join(f"{i},{b}\n" for i, b in rows[k * 100 : k * 100 + 100]))
+    (tmp_path / "one.ndjson").write_text("".join(json.dumps({"a": i, "b": b}) + "\n" for i, b in rows))
+    with pa.ipc.new_file(tmp_path / "one.arrow", pa.schema([("a", pa.int64()), ("b", pa.string())])) as out:
+        for k in range(0, 300, 50):
+            out.write_batch(pa.RecordBatch.from_pydict({"a": [i for i, _ in rows[k : k + 50]], "b": [b for _, b in rows[k : k + 50]]}))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512b")  # several pieces a file
+    try:
+        for path in ("csv", "one.ndjson", "one.arrow"):
+            df = read(spark, str(tmp_path / path))
+            assert sorted(r.b for r in page(df, 95, 10).collect()) == sorted(b for _, b in rows[95:105])
+            p = read_page(df, 298, 10)
+            assert [c[-1] for c in p.cells] == ["n298", "n299"] and not p.more
+            assert [r.b for r in sorted_page(df, "a", True, 0, 2).collect()] == ["n299", "n298"]
+            assert series(df, ["b", "no", "a"], 3).orderBy(ORD).drop(ORD).collect() == [(b, str(i) if path == "csv" else i) for i, b in rows[:3]]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with pytest.raises(ValueError):
+        page(df.groupBy("a").count())
+
+
+def delta_table(tmp_path, adds, name="t", mapping=None):
+    root = tmp_path / name
+    (root / "_delta_log").mkdir(parents=True)
+    schema = json.dumps({"type": "struct", "fields": [{"name": n, "type": t, "nullable": True, "metadata": {}} for n, t in (("v", "long"), ("p", "string"))]})
+    lines = [{"metaData": {"schemaString": schema, "partitionColumns": ["p"], "configuration": {"delta.columnMapping.mode": mapping} if mapping else {}}}]
+    for folder, written, value, p, extra in adds:
+        (root / folder).mkdir(exist_ok=True)
+        pq.write_table(pa.table({"v": [value]}), root / folder / "part-0.parquet")
+        lines.append({"add": {"path": f"{written}/part-0.parquet", "partitionValues": {"p": p}, **extra}})
+    (root / "_delta_log" / f"{0:020d}.json").write_text("\n".join(map(json.dumps, lines)))
+    return str(root)
+
+
+def test_delta_partitions_with_equal_file_names(spark, tmp_path):
+    path = delta_table(tmp_path, [("p=a", "p=a", 1, "a", {}), ("p=b c+d", "p=b%20c+d", 2, "b c+d", {})], "some table")
+    assert sorted(map(tuple, read(spark, path).collect())) == [(1, "a"), (2, "b c+d")]
+
+
+def test_delta_rows_that_cannot_be_read(spark, tmp_path):
+    with pytest.raises(SourceError, match="deletion vectors"):
+        read(spark, delta_table(tmp_path, [("p=a", "p=a", 1, "a", {"deletionVector": {"storageType": "u"}})]))
+    with pytest.raises(SourceError, match="maps its columns"):
+        read(spark, delta_table(tmp_path, [("p=a", "p=a", 1, "a", {})], "m", "name"))
+
+
+def test_cells_that_do_not_fit(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a\n" + "1\n" * 60 + "oops\n")
+    with pytest.raises(Exception, match="oops"):
+        read(spark, str(tmp_path / "x.csv"), infer_types=True).collect()
+    assert read(spark, str(tmp_path / "x.csv"), infer_types=True, ignore_errors=True).where("a is null").count() == 1
+
+
+def test_web_files_go_to_the_shared_folder(spark, tmp_path):
+    (tmp_path / "web").mkdir()
+    (tmp_path / "web/x.csv").write_text("a\n1\n2\n")
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(tmp_path / "web")))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/x.csv"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        if shared:
+            assert read(spark, url, allow_http=True).count() == 2
+        else:
+            with pytest.raises(SourceError, match="spark.checkpoint.dir"):
+                read(spark, url, allow_http=True)
+        with pytest.raises(UnsupportedScheme):
+            read(spark, url)
+    finally:
+        server.shutdown()
+
+
+def test_constructors(spark):
+    rows = [(1, "a"), (2, None)]
+    assert [tuple(r) for r in formats.CONSTRUCTORS["from_dict"](spark, {"x": [1, 2], "y": ["a", None]}).collect()] == rows
+    assert [tuple(r) for r in formats.CONSTRUCTORS["from_dicts"](spark, [{"x": 1, "y": "a"}, {"x": 2}]).collect()] == rows
+    with pytest.raises(SourceError):
+        formats.from_dict(spark, {"x": [1], "y": []})
