@@ -5,14 +5,15 @@ Every window of that length is given the anchor that its content alone decides:
 least hash. Equal windows have equal anchors, so the corpus falls into small groups of segments (runs
 of windows with one anchor) that can be judged apart from each other, anywhere:
 
-- segments that occur twice as a whole are repeats, by their count alone; no text moves for them;
-- segments alone under their anchor are unique;
-- the rest, the places where a repeat begins, ends or differs, are fetched and indexed group by group.
+- segments that are alone under their anchor, occur once and cannot repeat in themselves are unique; no text moves for them;
+- of the rest every different segment is fetched once, with the number of its places, and indexed group by group
+  (twice, if it has several places: it then matches its copy).
   The index is the run-compressed Burrows-Wheeler transform with suffix samples at the run ends, and
   the lengths of the matches there. Streaming along the text, the longest match of a position is that of the
   position before less one, unless a sample stands there; where it reaches `length`, a window repeats;
-- anchors with more than `group` different segments are not brought together: their windows' hashes are
-  counted, combined before the shuffle, which is exact whatever the group's size.
+- an anchor with more than `group` different segments is divided by second anchors (the least gram by another
+  hash) in the same way, so that no index grows with the corpus. What is still under one second anchor beyond `group`
+  has its windows counted by hash, combined before the shuffle, which is exact whatever the group's size.
 
 Texts are shuffled by their own hash, never by content, so neither copies nor common passages make a hot task
 of texts.
@@ -34,7 +35,6 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridlark.llm.common import chunks, materialize, table, text_or_empty
@@ -44,7 +44,7 @@ from gridlark.llm.common import chunks, materialize, table, text_or_empty
 class RepeatParams:
     length: int = 400  # bytes
     gram: int = 128  # of an anchor
-    group: int = 1000  # most segments of an anchor that are indexed together
+    group: int = 1000  # most different segments of an anchor that are indexed together
     piece: int = 512  # most windows of a segment
     index: int = 1 << 20  # bytes that are indexed at a time, by whole anchors
 
@@ -90,8 +90,11 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def segments(raw: np.ndarray, sizes: np.ndarray, params: RepeatParams) -> dict[str, np.ndarray]:
-    """The segments of texts that stand one after the other in raw: start, windows, anchor, and whether it may repeat in itself."""
+def segments(raw: np.ndarray, sizes: np.ndarray, params: RepeatParams, salt: int = 0) -> dict[str, np.ndarray]:
+    """The segments of texts that stand one after the other in raw: start, windows, anchor, and whether it may repeat in itself.
+
+    salt: another one makes other grams the least.
+    """
     length, gram = params.length, params.gram
     none = {k: np.zeros(0, np.int64) for k in ("start", "windows", "anchor", "multi", "text")}
     if len(raw) < length:
@@ -103,6 +106,9 @@ def segments(raw: np.ndarray, sizes: np.ndarray, params: RepeatParams) -> dict[s
     if not ok.any():
         return none
     h = window_hashes(raw, gram)
+    if salt:
+        h = (h ^ np.uint64(salt)) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
     at = np.arange(len(h), dtype=np.uint64) & PLACE
     width = length - gram + 1
     left = (_least(h & ~PLACE | at, width) & PLACE).astype(np.int64)
@@ -251,31 +257,30 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _judge(params: RepeatParams):
-    """Marks the repeats of rows (anchor, n, key, start, windows, body), which come sorted by anchor."""
-    schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    """Ranges (from, to, in bytes of the segment) of repeats in rows (anchor, seg, n, body), which come sorted by anchor."""
+    schema = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def marks(rows: list[tuple]):
-        index = RunIndex([r[5] for r in rows])
+        index = RunIndex([body for _, _, n, body in rows for _ in range(1 + (n > 1))])
         long = index.statistics() >= params.length
-        at, out = 0, ([], [], [])
-        for _, n, key, start, windows, body in rows:
-            if n == 1:
-                for a, b in zip(*_runs(long[at : at + windows])):
-                    for column, x in zip(out, (key, start + int(a), start + int(b) - 1 + params.length)):
-                        column.append(x)
-            at += len(body)
+        at, out = 0, ([], [], [], [])
+        for anchor, seg, n, body in rows:
+            for a, b in zip(*_runs(long[at : at + len(body)])):
+                for column, x in zip(out, (anchor, seg, int(a), int(b) - 1 + params.length)):
+                    column.append(x)
+            at += len(body) * (1 + (n > 1))
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=schema)
 
     def run(batches):
         held: list[tuple] = []
         size, anchor = 0, None
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 if row[0] != anchor and size > params.index:
                     yield marks(held)
                     held, size = [], 0
                 held.append(row)
-                anchor, size = row[0], size + len(row[5])
+                anchor, size = row[0], size + len(row[3])
         if held:
             yield marks(held)
 
@@ -283,50 +288,99 @@ def _judge(params: RepeatParams):
 
 
 def _bodies(params: RepeatParams):
-    schema = pa.schema([("anchor", pa.int64()), ("n", pa.int64()), ("n_segs", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("windows", pa.int32()), ("body", pa.binary())])
+    schema = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("n", pa.int64()), ("n_segs", pa.int64()), ("body", pa.binary())])
 
     def run(batches):
         for cols, texts in chunks(batches, "text", 1 << 22):
             out: list[list] = [[] for _ in schema]
-            for key, wanted, t in zip(cols["key"], cols["wanted"], texts):
+            for wanted, t in zip(cols["wanted"], texts):
                 for s in wanted:
-                    for column, x in zip(out, (s["anchor"], s["n"], s["n_segs"], key, s["start"], s["windows"], t[s["start"] : s["start"] + s["windows"] + params.length - 1])):
+                    for column, x in zip(out, (s["anchor"], s["seg"], s["n"], s["n_segs"], t[s["start"] : s["start"] + s["windows"] + params.length - 1])):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
     return run
 
 
+SECOND = 0x51A5C0DE51A5C0DF
+
+
+def _divided(params: RepeatParams):
+    """Segments by their second anchors: (anchor, seg, parent, parent_seg, at, n, multi, body)."""
+    names = ["anchor", "seg", "parent", "parent_seg", "at", "n", "multi", "body"]
+    kinds = [*[pa.int64()] * 6, pa.bool_(), pa.binary()]
+
+    def run(batches):
+        for batch in batches:
+            parents, segs, times, bodies = (batch.column(c).to_pylist() for c in ("anchor", "seg", "n", "body"))
+            sizes = np.array([len(x) for x in bodies], np.int64)
+            raw = b"".join(bodies)
+            s = segments(np.frombuffer(raw, np.uint8), sizes, params, SECOND)
+            begin = (np.cumsum(sizes) - sizes)[s["text"]]
+            out: list[list] = [[] for _ in names]
+            for start, windows, anchor, multi, text, b in zip(*(s[k].tolist() for k in ("start", "windows", "anchor", "multi", "text")), begin.tolist()):
+                body = raw[start : start + windows + params.length - 1]
+                both = xxhash.xxh3_64_intdigest(f"{parents[text]},{anchor}") - (1 << 63)
+                for column, x in zip(out, (both, xxhash.xxh3_64_intdigest(body) - (1 << 63), parents[text], segs[text], start - b, times[text], bool(multi), body)):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+
+    return run
+
+
 def _windows(params: RepeatParams):
-    schema = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("a", pa.int64())])
+    schema = pa.schema([("h", pa.int64()), ("n", pa.int64()), ("anchor", pa.int64()), ("seg", pa.int64()), ("a", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            for n, key, start, body in zip(*(batch.column(c).to_pylist() for c in ("n", "key", "start", "body"))):
+            for n, anchor, seg, body in zip(*(batch.column(c).to_pylist() for c in ("n", "anchor", "seg", "body"))):
                 h = window_hashes(np.frombuffer(body, np.uint8), params.length)
                 k = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(k, n)), pa.array(np.full(k, key)), pa.array(start + np.arange(k))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *[pa.array(np.full(k, x)) for x in (n, anchor, seg)], pa.array(np.arange(k))], schema=schema)
 
     return run
 
 
+def _with_sizes(kinds: DataFrame) -> DataFrame:
+    """Segments (anchor, seg, n, multi, ...) that may hold repeats, with the number of different ones under their anchor."""
+    sizes = kinds.groupBy("anchor").agg(F.count("*").alias("n_segs"))
+    return kinds.join(sizes, "anchor").where("n > 1 or n_segs > 1 or multi")
+
+
+RANGE = "anchor long, seg long, a long, b long"
+
+
+def _indexed(bodies: DataFrame, params: RepeatParams) -> DataFrame:
+    """Ranges of repeats in segments (anchor, seg, n, body) whose anchors have few."""
+    return bodies.select("anchor", "seg", "n", "body").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_judge(params), RANGE)
+
+
+def _in_large_groups(large: DataFrame, params: RepeatParams) -> DataFrame:
+    """Ranges of repeats in segments whose anchors have many: by second anchors."""
+    pieces = materialize(large.mapInArrow(_divided(params), "anchor long, seg long, parent long, parent_seg long, at long, n long, multi boolean, body binary"), "divided")
+    kinds = pieces.groupBy("anchor", "seg").agg(F.sum("n").alias("n"), F.max("multi").alias("multi"), F.max("body").alias("body"))
+    sized = materialize(_with_sizes(kinds), "second")
+    some = _indexed(sized.where(F.col("n_segs") <= params.group), params)
+    windows = sized.where(F.col("n_segs") > params.group).mapInArrow(_windows(params), "h long, n long, anchor long, seg long, a long")
+    twice = windows.groupBy("h").agg(F.sum("n").alias("times")).where("times > 1").select("h")
+    counted = windows.join(twice, "h", "left_semi").select("anchor", "seg", "a", (F.col("a") + params.length).alias("b"))
+    found = some.unionByName(counted)
+    return found.join(pieces.select("anchor", "seg", "parent", "parent_seg", "at"), ["anchor", "seg"]).select(F.col("parent").alias("anchor"), F.col("parent_seg").alias("seg"), (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
+
+
 def repeats(rows: DataFrame, params: RepeatParams = RepeatParams()) -> DataFrame:
     """(key, a, b): byte ranges of repeats, which may overlap, from (key, text). Equal keys must have equal texts."""
     listed = materialize(rows.mapInArrow(_list_segments(params), "anchor long, seg long, key long, start long, windows int, multi boolean"), "segments")
     kinds = listed.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.max("multi").alias("multi"), F.min(F.struct("key", "start", "windows")).alias("at"))
-    kinds = kinds.withColumn("n_segs", F.count("*").over(W.partitionBy("anchor"))).where("n > 1 or n_segs > 1 or multi")
-    kinds = materialize(kinds.select("anchor", "seg", "n", "multi", "n_segs", "at.*"), "kinds")
-    last = F.col("start") + F.col("windows") - 1 + params.length
-    whole = listed.join(kinds.where("n > 1").select("anchor", "seg"), ["anchor", "seg"], "left_semi").select("key", F.col("start").alias("a"), last.alias("b"))
-    wanted = kinds.where("n_segs > 1 or (multi and n = 1)").groupBy("key").agg(F.collect_list(F.struct("anchor", "n", "n_segs", "start", "windows")).alias("wanted"))
-    fetched = rows.dropDuplicates(["key"]).join(wanted, "key").select("key", "wanted", "text")
-    bodies = materialize(fetched.mapInArrow(_bodies(params), "anchor long, n long, n_segs long, key long, start long, windows int, body binary"), "bodies")
-    some = bodies.where(F.col("n_segs") <= params.group).select("anchor", "n", "key", "start", "windows", "body")
-    judged = some.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_judge(params), "key long, a long, b long")
-    windows = bodies.where(F.col("n_segs") > params.group).mapInArrow(_windows(params), "h long, n long, key long, a long")
-    twice = windows.groupBy("h").agg(F.sum("n").alias("times")).where("times > 1").select("h")
-    counted = windows.join(twice, "h", "left_semi").select("key", "a", (F.col("a") + params.length).alias("b"))
-    return whole.unionByName(judged).unionByName(counted)
+    kinds = _with_sizes(kinds).select("anchor", "seg", "n", "n_segs", "at.*")
+    wanted = kinds.groupBy("key").agg(F.collect_list(F.struct("anchor", "seg", "n", "n_segs", "start", "windows")).alias("wanted"))
+    fetched = rows.dropDuplicates(["key"]).join(wanted, "key").select("wanted", "text")
+    bodies = materialize(fetched.mapInArrow(_bodies(params), "anchor long, seg long, n long, n_segs long, body binary"), "bodies")
+    found = _indexed(bodies.where(F.col("n_segs") <= params.group), params)
+    large = bodies.where(F.col("n_segs") > params.group)
+    if not large.isEmpty():
+        found = found.unionByName(_in_large_groups(large, params))
+    return listed.join(found, ["anchor", "seg"]).select("key", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
 
 
 def _cut(text: bytes, marks: list[dict], whole_characters: bool) -> tuple[bytes, int, int]:

@@ -443,3 +443,27 @@ def test_forward_backward():
     assert np.allclose(p[:4], want / z)
     _, first = chain.marginals(scores[:4], np.array([4]), pairs=True)
     assert np.allclose(first, moves / z)
+
+
+def test_repeats_in_a_text_over_the_block_size(spark):
+    rng = np.random.default_rng(8)
+    raw = bytearray(rng.integers(97, 123, (1 << 21) + 5000, dtype=np.uint8).tobytes())
+    raw[(1 << 20) - 300 : (1 << 20) + 500] = raw[100:900]  # across the edge of two blocks
+    raw[-450:] = raw[5000:5450]
+    raw[2000:2399], raw[9000:9399] = raw[40_000:40_399], raw[40_000:40_399]  # too short by one
+    text = bytes(raw).decode()
+    got = suffix_dedup.repeat_report(spark.createDataFrame([(1, text), (2, text[700_000:700_600])], "doc_id long, text string")).collect()
+    seen: dict = {}
+    for t in (text, text[700_000:700_600]):
+        for i in range(len(t) - 399):
+            seen[hash(t[i : i + 400])] = seen.get(hash(t[i : i + 400]), 0) + 1
+    for r, t in zip(sorted(got), (text, text[700_000:700_600])):
+        m = np.zeros(len(t) + 1, np.int32)
+        for i in range(len(t) - 399):
+            if seen[hash(t[i : i + 400])] > 1:
+                m[i : i + 1] += 1
+                m[min(i + 400, len(t))] -= 1
+        gone = np.cumsum(m)[:-1] > 0
+        assert (r.n_removed, r.n_spans) == (int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()))
+        assert r.kept_sha256 == hashlib.sha256(np.frombuffer(t.encode(), np.uint8)[~gone].tobytes()).hexdigest()
+    assert sum(r.n_removed for r in got) >= 800 * 2 + 450 * 2 + 600 * 2
