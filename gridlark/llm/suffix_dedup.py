@@ -6,8 +6,9 @@ least hash. Equal windows have equal anchors, so the corpus falls into small gro
 of windows with one anchor) that can be judged apart from each other, anywhere:
 
 - segments that are alone under their anchor, occur once and cannot repeat in themselves are unique; no text moves for them;
-- of the rest every different segment is fetched once, with the number of its places, and indexed group by group
-  (twice, if it has several places: it then matches its copy).
+- of the rest every different segment counts once, with the number of its places: one that has several matches its copies
+  from end to end, and where it is the only one under its anchor no text moves for it. The others, the places where a repeat
+  begins, ends or differs, are fetched and indexed group by group, together with those that have copies.
   The index is the run-compressed Burrows-Wheeler transform with suffix samples at the run ends, and
   the lengths of the matches there. Streaming along the text, the longest match of a position is that of the
   position before less one, unless a sample stands there; where it reaches `length`, a window repeats;
@@ -34,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.llm.common import chunks, materialize, table, text_or_empty
@@ -261,14 +262,14 @@ def _judge(params: RepeatParams):
     schema = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def marks(rows: list[tuple]):
-        index = RunIndex([body for _, _, n, body in rows for _ in range(1 + (n > 1))])
-        long = index.statistics() >= params.length
+        long = RunIndex([body for *_, body in rows]).statistics() >= params.length
         at, out = 0, ([], [], [], [])
         for anchor, seg, n, body in rows:
-            for a, b in zip(*_runs(long[at : at + len(body)])):
-                for column, x in zip(out, (anchor, seg, int(a), int(b) - 1 + params.length)):
-                    column.append(x)
-            at += len(body) * (1 + (n > 1))
+            if n == 1:
+                for a, b in zip(*_runs(long[at : at + len(body)])):
+                    for column, x in zip(out, (anchor, seg, int(a), int(b) - 1 + params.length)):
+                        column.append(x)
+            at += len(body)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=schema)
 
     def run(batches):
@@ -347,6 +348,11 @@ def _with_sizes(kinds: DataFrame) -> DataFrame:
     return kinds.join(sizes, "anchor").where("n > 1 or n_segs > 1 or multi")
 
 
+def _copied(kinds: DataFrame, size: Column) -> DataFrame:
+    """Ranges of segments that have copies: all of them."""
+    return kinds.where("n > 1").select("anchor", "seg", F.lit(0).cast("long").alias("a"), size.cast("long").alias("b"))
+
+
 RANGE = "anchor long, seg long, a long, b long"
 
 
@@ -360,7 +366,7 @@ def _in_large_groups(large: DataFrame, params: RepeatParams) -> DataFrame:
     pieces = materialize(large.mapInArrow(_divided(params), "anchor long, seg long, parent long, parent_seg long, at long, n long, multi boolean, body binary"), "divided")
     kinds = pieces.groupBy("anchor", "seg").agg(F.sum("n").alias("n"), F.max("multi").alias("multi"), F.max("body").alias("body"))
     sized = materialize(_with_sizes(kinds), "second")
-    some = _indexed(sized.where(F.col("n_segs") <= params.group), params)
+    some = _copied(sized, F.octet_length("body")).unionByName(_indexed(sized.where(F.col("n_segs") <= params.group), params))
     windows = sized.where(F.col("n_segs") > params.group).mapInArrow(_windows(params), "h long, n long, anchor long, seg long, a long")
     twice = windows.groupBy("h").agg(F.sum("n").alias("times")).where("times > 1").select("h")
     counted = windows.join(twice, "h", "left_semi").select("anchor", "seg", "a", (F.col("a") + params.length).alias("b"))
@@ -372,11 +378,11 @@ def repeats(rows: DataFrame, params: RepeatParams = RepeatParams()) -> DataFrame
     """(key, a, b): byte ranges of repeats, which may overlap, from (key, text). Equal keys must have equal texts."""
     listed = materialize(rows.mapInArrow(_list_segments(params), "anchor long, seg long, key long, start long, windows int, multi boolean"), "segments")
     kinds = listed.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.max("multi").alias("multi"), F.min(F.struct("key", "start", "windows")).alias("at"))
-    kinds = _with_sizes(kinds).select("anchor", "seg", "n", "n_segs", "at.*")
-    wanted = kinds.groupBy("key").agg(F.collect_list(F.struct("anchor", "seg", "n", "n_segs", "start", "windows")).alias("wanted"))
+    kinds = materialize(_with_sizes(kinds).select("anchor", "seg", "n", "n_segs", "at.*"), "kinds")
+    wanted = kinds.where("n_segs > 1 or n = 1").groupBy("key").agg(F.collect_list(F.struct("anchor", "seg", "n", "n_segs", "start", "windows")).alias("wanted"))
     fetched = rows.dropDuplicates(["key"]).join(wanted, "key").select("wanted", "text")
     bodies = materialize(fetched.mapInArrow(_bodies(params), "anchor long, seg long, n long, n_segs long, body binary"), "bodies")
-    found = _indexed(bodies.where(F.col("n_segs") <= params.group), params)
+    found = _copied(kinds, F.col("windows") - 1 + params.length).unionByName(_indexed(bodies.where(F.col("n_segs") <= params.group), params))
     large = bodies.where(F.col("n_segs") > params.group)
     if not large.isEmpty():
         found = found.unionByName(_in_large_groups(large, params))

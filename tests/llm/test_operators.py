@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -68,15 +69,87 @@ def test_language_model(docs, rows, empty, spark):
     assert lm_score.score_documents(empty.withColumn("learn", empty.doc_id == 1), "learn").count() == 0
 
 
+def a_model(texts, **params):
+    p = lm_score.MixingParams(**params)
+    coder = lm_score.Coder(12, lm_score.fit_topics(texts, p), lm_score.byte_tree(lm_score.byte_counts(texts)), p)
+    rng = np.random.default_rng(0)
+    states = (rng.integers(0, 60, (lm_score.ORDERS, 1 << 12)) << 8 | rng.integers(0, 60, (lm_score.ORDERS, 1 << 12))).astype(np.uint16)
+    weights = rng.normal(0.3, 0.1, (lm_score.GATES, lm_score.ORDERS + 1))
+    return lm_score.Scorer(states, weights, coder)
+
+
 def test_language_model_is_a_distribution():
-    """The scores of all texts of one short word sum to no more than 1, and come near the share of short words."""
-    p = lm_score.MixingParams(table_bits=12)
-    odds = np.random.default_rng(0).integers(-900, 900, (lm_score.ORDERS, 1 << 12)).astype(np.int16)
-    s = lm_score.Scorer(odds, np.full((lm_score.GATES, lm_score.ORDERS + 1), 0.3), p)
-    ones = s.score([[b"\0" + bytes([b])] for b in range(256) if not bytes([b]).isspace()])
+    """The scores of all texts of one short word sum to no more than 1."""
+    s = a_model([b"the cat", b"le chat"])
+    ones = s.score([lm_score.spelled([bytes([b])]) for b in range(256) if not bytes([b]).isspace()], np.zeros(256 - 6, bool))
     assert 0 < np.exp(ones).sum() < 1
-    long = [b"\0the"] * 300
-    assert s.score([long, long[:5]])[0] == pytest.approx(s.score([long])[0])
+
+
+def slow_score(s, stream, learned):
+    """Bit by bit and byte by byte, with plain integers."""
+    m64, raw, lead = (1 << 64) - 1, bytes(64) + stream, 64
+    span = lambda a, b: sum(raw[j] * pow(int(lm_score.ODD), j - a, 1 << 64) for j in range(a, b)) & m64
+    params, topics, (length, offset, node, bit_of) = s.coder.params, s.coder.topics, s.coder.tree
+    factor, total, pending, sums, seen, top = np.ones(lm_score.ORDERS + 1), 0.0, [], np.zeros(params.topics, int), 0, 0
+    starts, grad, bits = [lead], np.zeros(lm_score.ORDERS + 1), 0
+    value = lambda q: q if q < 32 else 32 * 2 ** ((q - 32) / 16)
+    for i in range(lead, len(raw)):
+        if (i - lead) % lm_score.STEP == 0:
+            for w in pending:
+                at = np.flatnonzero(topics.words == np.uint64(w))
+                if len(at):
+                    sums, seen = sums + topics.weights[at[0]], seen + 1
+            pending, top = [], int(np.argmax(sums)) + 1 if seen else 0
+        if i > lead and (i - lead) % params.round == 0:
+            factor, grad, bits = np.clip(factor + params.text_rate * grad / bits, 0.2, 3), np.zeros(lm_score.ORDERS + 1), 0
+        word = max(starts[-1], i - 32)
+        previous = max(starts[-2], i - 64) if len(starts) > 1 else i - 64
+        topic = top * int(lm_score.ODD) & m64
+        contexts = [span(i - 3, i) ^ topic, span(i - 5, i), span(word, i) ^ topic, span(previous, i)]
+        contexts = [((c + k + 1) * int(lm_score.MIX) & m64) >> 32 for k, c in enumerate(contexts)]
+        for j in range(offset[raw[i]], offset[raw[i]] + length[raw[i]]):
+            bit, x, gate = int(bit_of[j]), [], 0
+            for k, c in enumerate(contexts):
+                slot = ((c ^ int(node[j])) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - s.coder.bits)
+                state = int(s.states[k, slot])
+                zeros, ones = value(state >> 8), value(state & 255)
+                zeros, ones = max(zeros - learned * (1 - bit), 0), max(ones - learned * bit, 0)
+                x.append((2 * bit - 1) * math.log((ones + 0.3) / (zeros + 0.3)))
+                if k >= lm_score.ORDERS - 2:
+                    gate = gate * lm_score.LEVELS + min(math.ceil(math.log2(zeros + ones + 1)), lm_score.LEVELS - 1)
+            x = np.array([*x, 0.3 * (2 * bit - 1)]) * s.weights[:, gate]
+            odds = np.clip(factor @ x, -20, 20)
+            total -= math.log1p(math.exp(-odds))
+            grad, bits = grad + x / (1 + math.exp(odds)), bits + 1
+        if raw[i] in b" \n":
+            pending.append(span(max(starts[-1], i - 32), i) * int(lm_score.MIX) & m64)
+            starts.append(i + 1)
+    return total
+
+
+def test_language_model_bit_by_bit(rows):
+    texts = [t.lower().encode() for t in (r[1] or "" for r in rows) if len(t) < 3000] + [b"\0\0 nul", b"x" * 200 + b" y"]
+    streams = [lm_score.spelled(t.split()) for t in texts[::6] + texts[-2:]]
+    for params in ({}, {"round": 64, "window": 128}, {"round": 96, "window": 96}):
+        s = a_model(texts, **params)
+        for learned in (0, 1):
+            got = s.score(streams, np.full(len(streams), bool(learned)))
+            assert got == pytest.approx([slow_score(s, x, learned) for x in streams], rel=1e-4)
+
+
+def test_language_model_and_partitions(spark, rows):
+    """Scores depend on the rows alone, copies score better, and a text of over a window goes through."""
+    rows = [(r[0], r[1], r[0] is None or r[0] % 7 != 2) for r in rows] + [(7000, "the cat sat on the mat " * 30_000, False)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    one, other = (sorted((r.doc_id or -1, r.score, r.base_score) for r in lm_score.score_documents(frame.repartition(n), "learn").collect()) for n in (4, 9))
+    assert [x[0] for x in one] == [x[0] for x in other] and np.allclose([x[1:] for x in one], [x[1:] for x in other], rtol=1e-9)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_language_model_beats_the_base(spark):
+    got = lm_score.op1_lm_score(spark, "/root/testdata/sf0.01").toPandas()
+    held = got[got.held_out]
+    assert len(got) == 1000 and held.score.sum() > held.base_score.sum()
 
 
 def test_quality(docs, empty, spark, rows):
