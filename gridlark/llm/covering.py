@@ -155,10 +155,22 @@ def _links(radius: int):
     return run
 
 
-def fingerprint_links(prints: DataFrame, radius: int = 4) -> DataFrame:
-    """Links (a, b) that connect all distinct values of column f (long) within the radius."""
-    keep = F.array(*[F.lit(int(m)) for m in masks(radius).view(np.int64)])
-    rows = prints.select(F.posexplode(keep).alias("v", "mask"), "f").select(F.col("v").cast("int"), F.col("f").bitwiseAND(F.col("mask")).alias("key"), "f")
+def fingerprint_links(prints: DataFrame, radius: int = 4, large: int = LARGE) -> DataFrame:
+    """Links (a, b) that connect all distinct values of column f (long) within the radius.
+
+    A bucket of over `large` values is divided by second masks before it is dealt out: they too have every pair
+    within the radius meet, so nothing is lost.
+    """
+    listed = lambda ms: F.array(*[F.lit(int(m)) for m in ms.view(np.int64)])
+    rows = prints.select(F.posexplode(listed(masks(radius))).alias("v", "mask"), "f").select(F.col("v").cast("int").alias("v"), F.col("f").bitwiseAND(F.col("mask")).alias("key"), "f")
+    hot = materialize(rows.groupBy("v", "key").agg(F.count("*").alias("n")).where(F.col("n") > large).select("v", "key", F.lit(True).alias("hot")), "hot")
+    if not hot.isEmpty():
+        second = masks(radius, np.random.default_rng(1).permutation(64))
+        marked = rows.join(hot, ["v", "key"], "left")
+        divided = marked.where("hot").select("v", "key", F.posexplode(listed(second)).alias("w", "mask"), "f")
+        # one number for both masks; equal hashes of two keys only put two buckets together
+        divided = divided.select((F.col("v") + len(second) * (F.col("w") + 1)).cast("int").alias("v"), F.xxhash64("key", F.col("f").bitwiseAND(F.col("mask"))).alias("key"), "f")
+        rows = marked.where("hot is null").select("v", "key", "f").unionByName(divided)
     dealt = rows.repartition("v", "key").sortWithinPartitions("v", "key", "f")
     return dealt.mapInArrow(_links(radius), "a long, b long")
 

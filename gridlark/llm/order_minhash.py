@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gridlark.llm.common import materialize, table, text_or_empty
 
-POSITION = 24  # bits of an element for its place in the text; the rest are its hash
+POSITION = 30  # bits of an element for its place in the text, as many as a text can have words; the rest are its hash
 
 
 @dataclass(frozen=True)
@@ -43,14 +43,17 @@ class OrderMinHashParams:
 
 def _blocks(docs: DataFrame, params: OrderMinHashParams) -> Column:
     """A block number that grows with column id: 256 ranges of equal rows, each split evenly by value."""
-    facts = docs.agg(F.count("*").alias("n"), F.percentile_approx("id", [i / 256 for i in range(257)], 10_000).alias("cuts")).first()
+    facts = docs.agg(F.count("*").alias("n"), F.count_if(F.col("id").isNull()).alias("none"), F.percentile_approx("id", [i / 256 for i in range(257)], 10_000).alias("cuts")).first()
     cuts = sorted(set(facts["cuts"] or [0]))
     fine = max(1, -(-facts["n"] // (256 * params.block)))
     edges = F.array(*[F.lit(c).cast("long") for c in cuts])
     range_no = F.greatest(F.size(F.filter(edges, lambda c: c <= F.col("id"))), F.lit(1))
     low, high = F.element_at(edges, range_no), F.element_at(edges, F.least(range_no + 1, F.lit(len(cuts))))
     inside = F.least(F.floor((F.col("id").cast("double") - low) / F.greatest(high.cast("double") - low, F.lit(1.0)) * fine), F.lit(fine - 1))
-    return F.when(F.col("id").isNull(), F.lit(0)).otherwise(range_no * fine + F.greatest(inside, F.lit(0))).cast("long")
+    # rows without an id come first, by their text's hash
+    bare = max(1, -(-facts["none"] // params.block))
+    first = F.floor((F.col("digest") / F.lit(2.0**64) + 0.5) * bare) - bare
+    return F.when(F.col("id").isNull(), F.least(first, F.lit(-1))).otherwise(range_no * fine + F.greatest(inside, F.lit(0))).cast("long")
 
 
 def with_next(docs: DataFrame, params: OrderMinHashParams = OrderMinHashParams()) -> DataFrame:
@@ -59,9 +62,13 @@ def with_next(docs: DataFrame, params: OrderMinHashParams = OrderMinHashParams()
     rows = rows.withColumn("block", _blocks(rows, params))
     order = W.partitionBy("block").orderBy(F.col("id").asc_nulls_first(), "digest")
     heads = rows.groupBy("block").agg(F.min_by("text", F.struct("id", "digest")).alias("head"))
-    # one short row a block
-    after = rows.select("block").distinct().select("block", F.lead("block").over(W.orderBy("block")).alias("n"), F.min("block").over(W.partitionBy(F.lit(0))).alias("f"))
-    ends = after.select("block", F.coalesce("n", "f").alias("next_block")).join(heads.withColumnRenamed("block", "next_block"), "next_block").select(F.col("block").alias("e_block"), "next_block", "head")
+    # the block after each one: among 4096 neighbours, then from a row for each such stretch
+    blocks = rows.select("block").distinct().withColumn("stretch", F.shiftright("block", 12))
+    inner = blocks.withColumn("n", F.lead("block").over(W.partitionBy("stretch").orderBy("block")))
+    stretches = blocks.groupBy("stretch").agg(F.min("block").alias("least"))
+    every = W.orderBy("stretch")
+    later = stretches.select("stretch", F.coalesce(F.lead("least").over(every), F.first("least").over(every)).alias("later"))
+    ends = inner.join(later, "stretch").select("block", F.coalesce("n", "later").alias("next_block")).join(heads.withColumnRenamed("block", "next_block"), "next_block").select(F.col("block").alias("e_block"), "next_block", "head")
     placed = rows.withColumns({"place": F.row_number().over(order), "follower": F.lead("text").over(order)}).drop("digest")
     ended = placed.join(ends, (F.col("block") == F.col("e_block")) & F.col("follower").isNull(), "left")
     return ended.select("block", "place", "id", "text", F.coalesce("follower", "head").alias("next_text"), "next_block")

@@ -259,6 +259,27 @@ def test_covering_masks_meet_every_pair():
         covering.LARGE = kept
 
 
+def test_large_buckets_are_divided(spark):
+    """Values that share most masks: links are the same however small the buckets are."""
+    rng = random.Random(5)
+    values = sorted({0xABCDEF << 30 ^ sum(1 << rng.randrange(14) for _ in range(rng.randint(0, 9))) for _ in range(400)})
+    want, left = set(), set(values)
+    while left:
+        group = front = {left.pop()}
+        while front:
+            front = {y for y in left if any((x ^ y).bit_count() <= 4 for x in front)}
+            group, left = group | front, left - front
+        want.add(frozenset(group))
+    prints = spark.createDataFrame([(x,) for x in values], "f long")
+
+    def components(large):
+        found = connected_components(covering.fingerprint_links(prints, large=large)).collect()
+        groups = {x: x for x in values} | {r.node: r.root for r in found}
+        return {frozenset(x for x in values if groups[x] == g) for g in set(groups.values())}
+
+    assert components(3) == components(10**6) == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (95, 100), (7, 7), (200, 199), (200, 199)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -32,9 +32,15 @@ def test_stages(spark):
     for t in texts:
         for i in range(len(t) - 399):
             seen[t[i : i + 400]] = seen.get(t[i : i + 400], 0) + 1
+    passages: dict = {}
+    for t in texts:
+        ws = t.split()
+        for i in range(len(ws) - 50):
+            passages[tuple(ws[i : i + 51])] = passages.get(tuple(ws[i : i + 51]), 0) + 1
     cut = {r.doc_id: r.text for r in out["repeats"].collect()}
     for r, t in zip(near, texts):
-        dup = any(seen[t[i : i + 400]] > 1 for i in range(len(t) - 399))
+        ws = t.split()
+        dup = any(seen[t[i : i + 400]] > 1 for i in range(len(t) - 399)) or any(passages[tuple(ws[i : i + 51])] > 1 for i in range(len(ws) - 50))
         assert (cut[r.doc_id] == before[r.doc_id]) == (not dup)
     mixed = out["mix"].collect()
     assert all(cut[r.doc_id].startswith(r.text) and r.n_chars == len(r.text) for r in mixed)
@@ -121,3 +127,25 @@ def test_passages_of_over_fifty_words(spark):
     assert {i: got[i].split() for i in want} == want
     assert not got[52] and got[53] in ("x", "x\u00e9")  # bytes that repeat go as before
     assert c.repeat_filter(spark, docs.limit(0), SF).count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls everywhere, equal rows, equal ids, columns with clashing names and empty tables go through every stage."""
+    import corpus_pipeline as c
+    from gridlark.llm.common import materialize
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, k string, __k long, r long, key string, __marks int, root long"
+    extra = ("k", 1, 2, "key", 3, 4)
+    words = " ".join(f"word{i}" for i in range(120))
+    rows = [(1, words, "en", "s", 5), (1, words, "en", "s", 5), (1, "another text of its own", None, None, None), (None, words, "en", None, 1), (None, None, None, None, None), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (4, words + " and more", "en", "t", 9), (5, " ", None, "t", None)]
+    docs = spark.createDataFrame([(*r, *extra) for r in rows], schema)
+    for name, stage in c.STAGES[1:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == c.COLUMNS, name
+        n = len(got.collect())
+        assert n == (3 if name == "near_duplicates" else n if name == "mix" else len(rows)), name
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    kept = sorted(map(tuple, c.near_duplicate_filter(spark, docs, SF).collect()), key=str)
+    assert [r[:2] for r in kept] == [(1, "another text of its own"), (1, words), (2, None)]
+    assert c.pack(spark, docs, SF).count() > 0 and c.pack(spark, docs.limit(0), SF).count() == 0
+    assert c.quality_filter(spark, materialize(docs, "odd"), SF).columns == c.COLUMNS
