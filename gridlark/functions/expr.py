@@ -246,7 +246,7 @@ class Expr:
             pairs = F.sort_array(F.collect_list(F.struct(b.alias("k"), a.alias("v"))), not descending)
             return F.transform(pairs, lambda x: x["v"])
 
-        return self._map(f, by)
+        return self._map(f, as_expr(by))
 
     def reverse(self):
         return self.implode()._map(F.reverse)
