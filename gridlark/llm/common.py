@@ -19,27 +19,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share; a temporary one only where none is configured (tests)."""
+    """The folder that all machines share: spark.checkpoint.dir, or a temporary one where none is set and everything runs on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="gridlark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all machines share")
+    return _OWN.setdefault(context.applicationId, tempfile.mkdtemp(prefix="gridlark-"))
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and return a reader of it.
 
     This cuts the lineage without local checkpoints: a lost executor costs only the tasks that
-    it ran, and the files outlive it.
+    it ran, and the files outlive it, until `release`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridlark/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that this session has materialized, and says how many; to be called when the results that read them are written."""
+    paths, jvm = _WRITTEN.pop(spark.sparkContext.applicationId, []), spark._jvm
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

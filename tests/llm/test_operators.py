@@ -259,6 +259,17 @@ def test_covering_masks_meet_every_pair():
         covering.LARGE = kept
 
 
+def test_tables_are_released(spark):
+    from gridlark.llm import common
+
+    common.release(spark)
+    kept = common.materialize(spark.range(5), "five")
+    (path,) = [f.split("/part-")[0].removeprefix("file:") for f in kept.inputFiles()[:1]]
+    path = "/" + path.lstrip("/")
+    assert kept.count() == 5 and os.path.isdir(path)
+    assert common.release(spark) == 1 and not os.path.exists(path) and common.release(spark) == 0
+
+
 def test_large_buckets_are_divided(spark):
     """Values that share most masks: links are the same however small the buckets are."""
     rng = random.Random(5)
