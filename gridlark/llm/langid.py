@@ -35,6 +35,7 @@ class ChainParams:
     bits: int = 18  # of the hashed features
     span: int = 64  # words of a sequence
     sample: int = 2000  # most texts that are learned from
+    sample_bytes: int = 1 << 16  # longer ones only where there are too few others
     words: int = 400_000  # most words in training sequences
     epochs: int = 3
     rate: float = 0.3
@@ -190,7 +191,7 @@ def identify(docs: DataFrame, learn: str, *, id: str = "doc_id", text: str = "te
     # a bounded sample of labelled rows, by hash
     part = min(1.0, 1.25 * params.sample / max(total, 1))
     draw = F.pmod(F.xxhash64(F.col(id).cast("string"), text), F.lit(1 << 30)) < int(part * (1 << 30))
-    sample = sorted(map(tuple, known.where(draw).select(text, F.col(lang).cast("string")).limit(2 * params.sample).collect()))
+    sample = sorted(map(tuple, known.where(draw).orderBy(F.octet_length(text) > params.sample_bytes, F.xxhash64(F.col(id).cast("string"), text), text).select(text, F.col(lang).cast("string")).limit(2 * params.sample).collect()))
     texts = [words_of(t) for t, _ in sample]
     model = docs.sparkSession.sparkContext.broadcast(train(texts, [x for _, x in sample], params))
 
