@@ -126,10 +126,14 @@ def take(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str
     key = lambda i, s, d: F.xxhash64(F.coalesce(F.col(i).cast("string"), F.lit("\x00")), F.coalesce(F.col(s).cast("string"), F.lit("\x00")), d)
     plan = mix(docs, id=id, text=text, source=source, params=params).where("taken > 0")
     plan = plan.groupBy(key(id, "source", F.col("digest")).alias("__key")).agg(F.first("size").alias("__size"), F.flatten(F.collect_list("epochs")).alias("__epochs"))
-    rows = docs.withColumn("__key", key(id, source, digest)).join(plan, "__key").dropDuplicates(["__key"])
+    # all of docs' own columns in one, so that no names clash
+    packed = docs.select(key(id, source, digest).alias("__key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    rows = packed.join(plan, "__key").dropDuplicates(["__key"])
     rows = rows.withColumn("__words", F.explode("__epochs")).where("__words > 0")
-    first_words = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("__words").cast("int")), "")
-    return rows.withColumn(text, F.when(F.col("__words") >= F.col("__size"), F.col(text)).otherwise(first_words)).select(*docs.columns)
+    whole = F.col("__row")[text]
+    first_words = F.array_join(F.slice(F.regexp_extract_all(whole, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("__words").cast("int")), "")
+    taken = F.when(F.col("__words") >= F.col("__size"), whole).otherwise(first_words)
+    return rows.select(*[(taken if c == text else F.col("__row")[c]).alias(c) for c in docs.columns])
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

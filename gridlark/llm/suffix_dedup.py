@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import chunks, materialize, table, text_or_empty
+from gridlark.llm.common import chunks, materialize, table
 
 
 @dataclass(frozen=True)
@@ -417,11 +417,18 @@ def _cut(text: bytes, marks: list[dict], whole_characters: bool) -> tuple[bytes,
 
 
 def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
-    return docs.withColumn("__text", text_or_empty(text)).withColumn("__key", F.xxhash64(F.coalesce(F.col(id).cast("string"), F.lit("")), "__text"))
+    """Columns __row, which holds all of docs' own so that no names clash, __text and __key."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    rows = rows.withColumn("__text", F.coalesce(F.col("__row")[text].cast("string"), F.lit("")))
+    return rows.withColumn("__key", F.xxhash64(F.coalesce(F.col("__row")[id].cast("string"), F.lit("")), "__text"))
+
+
+def _unpacked(rows: DataFrame, columns: list[str], text: str, new: Column) -> DataFrame:
+    return rows.select(*[(new if c == text else F.col("__row")[c]).alias(c) for c in columns])
 
 
 def marked(docs: DataFrame, id: str, text: str, params: RepeatParams) -> DataFrame:
-    """docs with columns __key, __text and __marks."""
+    """Columns __row (that of docs), __key, __text and __marks."""
     keyed = _keyed(docs, id, text)
     marks = repeats(keyed.select(F.col("__key").alias("key"), F.col("__text").alias("text")), params)
     # copies under one key mark the same places
@@ -440,7 +447,7 @@ def repeat_report(docs: DataFrame, *, id: str = "doc_id", text: str = "text", pa
                 ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    rows = marked(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), "id", "text", params).select("id", "__marks", "__text")
+    rows = marked(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")), "id", "text", params).select(F.col("__row")["id"].alias("id"), "__marks", "__text")
     return rows.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id)
 
 
@@ -451,7 +458,7 @@ def remove_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text", p
         return pd.Series([t if m is None else _cut(t.encode("utf-8"), [{"a": x["a"], "b": x["b"]} for x in m], True)[0].decode("utf-8") for t, m in zip(texts, marks)])
 
     rows = marked(docs, id, text, params)
-    return rows.withColumn(text, F.when(F.col("__marks").isNull(), F.col(text)).otherwise(cut("__text", "__marks"))).select(*docs.columns)
+    return _unpacked(rows, docs.columns, text, F.when(F.col("__marks").isNull(), F.col("__row")[text]).otherwise(cut("__text", "__marks")))
 
 
 CODE = 4  # bytes that stand for a word
@@ -499,7 +506,7 @@ def remove_passages(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     per = found.distinct().groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("a", "b")).alias("__words"))
     rows = rows.join(per, "__key", "left")
     none = F.col("__marks").isNull() & F.col("__words").isNull()
-    return rows.withColumn(text, F.when(none, F.col(text)).otherwise(cut("__text", "__marks", "__words"))).select(*docs.columns)
+    return _unpacked(rows, docs.columns, text, F.when(none, F.col("__row")[text]).otherwise(cut("__text", "__marks", "__words")))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

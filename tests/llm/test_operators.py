@@ -572,3 +572,28 @@ def test_repeats_in_a_text_over_the_block_size(spark):
         assert (r.n_removed, r.n_spans) == (int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()))
         assert r.kept_sha256 == hashlib.sha256(np.frombuffer(t.encode(), np.uint8)[~gone].tobytes()).hexdigest()
     assert sum(r.n_removed for r in got) >= 800 * 2 + 450 * 2 + 600 * 2
+
+
+CLASH = ("id", "block", "place", "digest", "uid", "rest", "learned", "h", "n", "f", "v", "k", "seg", "anchor", "shard", "size", "__key", "__text", "__marks", "__words", "__row", "__size", "__epochs", "__f", "__k")
+
+
+def test_clashing_names_and_nulls(spark):
+    """Every operator gives the same rows with other columns beside its own, whatever these are called, and lets them be."""
+    import public_tokenizers as P
+
+    text = " ".join(f"word{i % 97}" for i in range(160))
+    rows = [(1, text, "en", "s"), (2, "x " + text, "en", None), (2, "short", None, "s"), (None, None, None, None), (3, "", "fr", "t"), (4, "le chat et la souris " * 20, "fr", "t"), (5, "the cat and the mouse " * 20, "en", "s")]
+    names = "doc_id long, text string, lang string, source string"
+    plain = spark.createDataFrame(rows, names).selectExpr("*", "coalesce(doc_id % 2 = 0, false) AS learn")
+    full = spark.createDataFrame([(*r, *range(len(CLASH))) for r in rows], names + "".join(f", {c} int" for c in CLASH)).selectExpr("*", "coalesce(doc_id % 2 = 0, false) AS learn")
+    operators = [
+        lambda d: lm_score.score_documents(d, "learn"), lambda d: order_minhash.edit_sensitivity(d), lambda d: order_minhash.fingerprint_documents(d), lambda d: covering.near_duplicates(d),
+        lambda d: packing.pack_documents(d, P.path("byte_bpe_50k.json"), P.PATTERN).select("doc_id", "start", "length", "ids_crc32"), lambda d: flac.digests(flac.media(d)),
+        lambda d: token_counts.count_tokens(d, P.path("piece_bpe_32k.model")), lambda d: mixing.mix(d).select("doc_id", "size", "target", "taken"), lambda d: suffix_dedup.repeat_report(d), lambda d: langid.identify(d, "learn"),
+    ]
+    for f in operators:
+        assert sorted(map(str, f(plain).collect())) == sorted(map(str, f(full).collect()))
+    for f in (suffix_dedup.remove_repeats, suffix_dedup.remove_passages, mixing.take):
+        got = f(full)
+        assert got.columns == full.columns and all(tuple(r[c] for c in CLASH) == tuple(range(len(CLASH))) for r in got.collect())
+        assert sorted(map(str, got.select(*plain.columns).collect())) == sorted(map(str, f(plain).collect()))
