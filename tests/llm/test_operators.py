@@ -73,8 +73,8 @@ def a_model(texts, **params):
     p = lm_score.MixingParams(**params)
     coder = lm_score.Coder(12, lm_score.fit_topics(texts, p), lm_score.byte_tree(lm_score.byte_counts(texts)), p)
     rng = np.random.default_rng(0)
-    states = (rng.integers(0, 60, (lm_score.ORDERS, 1 << 12)) << 8 | rng.integers(0, 60, (lm_score.ORDERS, 1 << 12))).astype(np.uint16)
-    weights = rng.normal(0.3, 0.1, (lm_score.GATES, lm_score.ORDERS + 1))
+    states = (rng.integers(0, 60, (lm_score.ORDERS, 1 << 12)) << 6 | rng.integers(0, 60, (lm_score.ORDERS, 1 << 12))).astype(np.uint16)
+    weights = rng.normal(0.3, 0.1, (lm_score.GATES, lm_score.ORDERS))
     return lm_score.Scorer(states, weights, coder)
 
 
@@ -88,11 +88,11 @@ def test_language_model_is_a_distribution():
 def slow_score(s, stream, learned):
     """Bit by bit and byte by byte, with plain integers."""
     m64, raw, lead = (1 << 64) - 1, bytes(64) + stream, 64
-    span = lambda a, b: sum(raw[j] * pow(int(lm_score.ODD), j - a, 1 << 64) for j in range(a, b)) & m64
+    span = lambda a, b: sum(int(lm_score.BYTE[raw[j]]) * pow(int(lm_score.ODD), j - a, 1 << 64) for j in range(a, b)) & m64
     params, topics, (length, offset, node, bit_of) = s.coder.params, s.coder.topics, s.coder.tree
-    factor, total, pending, sums, seen, top = np.ones(lm_score.ORDERS + 1), 0.0, [], np.zeros(params.topics, int), 0, 0
-    starts, grad, bits = [lead], np.zeros(lm_score.ORDERS + 1), 0
-    value = lambda q: q if q < 32 else 32 * 2 ** ((q - 32) / 16)
+    factor, total, pending, sums, seen, top = np.ones(lm_score.ORDERS), 0.0, [], np.zeros(params.topics, int), 0, 0
+    starts, grad, bits = [lead], np.zeros(lm_score.ORDERS), 0
+    value = lambda q: q if q < 16 else 16 * 2 ** ((q - 16) / 6)
     for i in range(lead, len(raw)):
         if (i - lead) % lm_score.STEP == 0:
             for w in pending:
@@ -101,23 +101,23 @@ def slow_score(s, stream, learned):
                     sums, seen = sums + topics.weights[at[0]], seen + 1
             pending, top = [], int(np.argmax(sums)) + 1 if seen else 0
         if i > lead and (i - lead) % params.round == 0:
-            factor, grad, bits = np.clip(factor + params.text_rate * grad / bits, 0.2, 3), np.zeros(lm_score.ORDERS + 1), 0
+            factor, grad, bits = np.clip(factor + params.text_rate * grad / bits, 0.2, 3), np.zeros(lm_score.ORDERS), 0
         word = max(starts[-1], i - 32)
         previous = max(starts[-2], i - 64) if len(starts) > 1 else i - 64
         topic = top * int(lm_score.ODD) & m64
         contexts = [span(i - 3, i) ^ topic, span(i - 5, i), span(word, i) ^ topic, span(previous, i)]
-        contexts = [((c + k + 1) * int(lm_score.MIX) & m64) >> 32 for k, c in enumerate(contexts)]
+        contexts = [((c + k + 1) * int(lm_score.MIX) & m64) >> (64 - s.coder.bits) for k, c in enumerate(contexts)]
         for j in range(offset[raw[i]], offset[raw[i]] + length[raw[i]]):
             bit, x, gate = int(bit_of[j]), [], 0
             for k, c in enumerate(contexts):
-                slot = ((c ^ int(node[j])) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - s.coder.bits)
+                slot = c ^ int(node[j])
                 state = int(s.states[k, slot])
-                zeros, ones = value(state >> 8), value(state & 255)
+                zeros, ones = value(state >> 6), value(state & 63)
                 zeros, ones = max(zeros - learned * (1 - bit), 0), max(ones - learned * bit, 0)
                 x.append((2 * bit - 1) * math.log((ones + 0.3) / (zeros + 0.3)))
                 if k >= lm_score.ORDERS - 2:
                     gate = gate * lm_score.LEVELS + min(math.ceil(math.log2(zeros + ones + 1)), lm_score.LEVELS - 1)
-            x = np.array([*x, 0.3 * (2 * bit - 1)]) * s.weights[:, gate]
+            x = np.array(x) * s.weights[:, gate]
             odds = np.clip(factor @ x, -20, 20)
             total -= math.log1p(math.exp(-odds))
             grad, bits = grad + x / (1 + math.exp(odds)), bits + 1
