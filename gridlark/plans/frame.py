@@ -560,7 +560,8 @@ class Frame:
         left = self.df.select(*[quoted(a).alias(k) for a, k in zip(lb, keys)], quoted(lt).alias("__t"), F.lit(1).alias("__side"), F.struct(*[quoted(c) for c in self.columns]).alias("__l"), F.lit(None).cast(T.StructType([other.df.schema[c] for c in extra])).alias("__r"))
         right = other.df.select(*[quoted(a).alias(k) for a, k in zip(rb, keys)], quoted(rt).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(left.schema["__l"].dataType).alias("__l"), F.struct(*[quoted(c) for c in extra]).alias("__r"))
         both = left.unionByName(right)
-        cuts = Ordered(both, [*keys, "__t", "__side"])
+        # below a million rows keys spread the work well enough; so few rows even of one key are one task's
+        cuts = Ordered(both, [*keys, "__t", "__side"], rows=1_000_000 if keys else 200_000, spread=not keys)
         if keys and not cuts.cuts:
             seen = Ordered(both, ["__t", "__side"], partition=keys).fill("__r", True, "__r")
         else:

@@ -98,11 +98,11 @@ class Ordered:
     like: an Ordered over the same rows, whose cuts are taken over.
     """
 
-    def __init__(self, df: DataFrame, by: Sequence[str], partition: Sequence[str] = (), rows: int = 200_000, like: Ordered | None = None):
+    def __init__(self, df: DataFrame, by: Sequence[str], partition: Sequence[str] = (), rows: int = 200_000, like: Ordered | None = None, spread: bool = True):
         self.partition, self.by = list(partition), list(by)
         self.columns = df.columns
         # inside user partitions, windows are spread already
-        self.cuts = like.cuts if like else [] if self.partition else cuts_of(df, self.by, rows)
+        self.cuts = like.cuts if like else [] if self.partition else cuts_of(df, self.by, rows, spread=spread)
         self.df = df.withColumn("__block", block_column(df, self.by, self.cuts))
 
     def _window(self, backward: bool = False):
