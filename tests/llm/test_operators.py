@@ -152,6 +152,33 @@ def test_language_model_beats_the_base(spark):
     assert len(got) == 1000 and held.score.sum() > held.base_score.sum()
 
 
+def test_language_model_learns_from_all_texts(spark, monkeypatch):
+    """Tree, topics and starting weights come from every training text, long ones too, and few tasks count many small files."""
+    rng, models, tasks = random.Random(4), [], []
+    texts = [prose(rng, FR if i % 2 else EN, 2500).encode() for i in range(12)] + [b"zq " * 9000]
+    assert min(map(len, texts)) > 8192
+    frame = spark.createDataFrame([(i, t.decode(), True) for i, t in enumerate(texts)] + [(100, "the thing of", False)], "doc_id long, text string, learn boolean").repartition(40)
+    score_part, train_states = lm_score._score_part, lm_score.train_states
+    monkeypatch.setattr(lm_score, "_score_part", lambda model: models.append(model.value) or score_part(model))
+    monkeypatch.setattr(lm_score, "train_states", lambda docs, *a: tasks.append(docs.rdd.getNumPartitions()) or train_states(docs, *a))
+    assert lm_score.score_documents(frame, "learn").count() == 14
+    (_, weights, coder, *_), want = models[0], lm_score.byte_tree(lm_score.byte_counts(texts))
+    assert all(np.array_equal(a, b) for a, b in zip(coder.tree, want))
+    seen = {w for t in texts for w in t.lower().split()}
+    assert len(coder.topics.words) == min(len(seen), 512) and len(np.unique(coder.topics.weights, axis=1).T) > 1
+    assert np.abs(weights - 0.3).max() > 0.1 and tasks[0] <= 2 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("most", [1, 200, 60_000, 1 << 20])
+def test_narrow_counts(most):
+    rng = np.random.default_rng(most)
+    for met in (1, 500, lm_score.CHUNK):
+        counts = np.zeros(lm_score.CHUNK, np.uint32)
+        counts[rng.choice(lm_score.CHUNK, met, replace=False)] = rng.integers(1, most + 1, met)
+        held = lm_score._narrow(counts)
+        assert np.array_equal(lm_score._widened(held), counts) and len(held) <= 4 * lm_score.CHUNK + 1
+
+
 def test_quality(docs, empty, spark, rows):
     labels = spark.createDataFrame([(r[0], 0 if "!!" in (r[1] or "") else 1) for r in rows if r[0] is not None and r[0] < 200] + [(None, 1), (0, None), (777, 0)], "id long, y int")
     stats = quality.document_statistics(docs)
