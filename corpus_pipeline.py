@@ -31,7 +31,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts whose five-word shingles are similar by 0.8 or more: the one with the smallest id.
+    """One document of each component of texts whose five-word shingles are similar by 0.8 or more: the one with the smallest id. Covering SimHash (as op4) and bands find them.
 
     Of equal texts the row with the smallest id stays (a null id only where there is no other; of equal ids the least source,
     lang and length). Null and empty texts are one component. An empty table gives no rows; other columns go.

@@ -1,8 +1,9 @@
-"""Near-duplicates by exact similarity of word shingles, found by banded MinHash.
+"""Near-duplicates by exact similarity of word shingles, found by covering SimHash and banded MinHash.
 
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles is at least
-`similarity`. A text's 144 minima make 24 bands of six; texts that share a band are candidates, and a
-pair at similarity s shares none with chance (1 - s^6)^24: 0.0007 at 0.8, under 0.0001 at 0.84. The
+`similarity`. Candidates are texts whose SimHash fingerprints (covering.py) hang together within `radius` bits, all of which
+the covering tables find; as most pairs at 0.8 differ in more bits, texts that share a band are candidates too. A text's
+144 minima make 24 bands of six, of which a pair at similarity s shares none with chance (1 - s^6)^24: 0.0007 at 0.8, under 0.0001 at 0.84. The
 candidates' components are gathered, each text once, and inside them all linked pairs are found without
 loss by prefix filtering, so a candidate that is not similar enough links nothing.
 
@@ -25,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridlark.llm import covering
 from gridlark.llm.common import chunks, materialize
 from gridlark.llm.components import connected_components
 
@@ -35,6 +37,7 @@ class ShingleParams:
     similarity: float = 0.8
     bands: int = 24
     rows: int = 6  # minima of a band
+    radius: int = 4  # bits between fingerprints
 
 
 ODD = np.random.default_rng(11).integers(1, 1 << 62, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -77,12 +80,13 @@ def bands(s: np.ndarray, params: ShingleParams) -> np.ndarray:
 
 
 def _sign(params: ShingleParams):
-    schema = pa.schema([("k", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("k", pa.int64()), ("bands", pa.list_(pa.int64())), ("f", pa.int64())])
 
     def run(batches):
         for cols, texts in chunks(batches, "text", 1 << 22):
             signed = [bands(shingles(t, params.words), params).view(np.int64) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(cols["k"], pa.int64()), pa.array(signed, pa.list_(pa.int64()))], schema=schema)
+            prints = np.array([covering.fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cols["k"], pa.int64()), pa.array(signed, pa.list_(pa.int64())), pa.array(prints)], schema=schema)
 
     return run
 
@@ -164,12 +168,23 @@ def _settle(params: ShingleParams):
     return run
 
 
+def _fingerprint_links(prints: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) of keys that connect all of (k, f) whose fingerprints are within the radius: to the least key of a fingerprint, and between these."""
+    least = materialize(prints.groupBy("f").agg(F.min("k").alias("b")), "fingerprints")
+    same = prints.join(least, "f").where("k <> b").select(F.col("k").alias("a"), "b")
+    near = covering.fingerprint_links(least, radius).withColumnsRenamed({"a": "f", "b": "g"})
+    near = near.join(least.withColumnRenamed("b", "a"), "f").join(least.withColumnRenamed("f", "g"), "g").select("a", "b")
+    return same.unionByName(near)
+
+
 def classes(texts: DataFrame, params: ShingleParams = ShingleParams()) -> DataFrame:
     """(k, root) for every text of (k, text) that is a candidate; equal keys must have equal texts. All others are alone."""
-    signed = materialize(texts.mapInArrow(_sign(params), "k long, bands array<long>").groupBy("k").agg(F.first("bands").alias("bands")), "bands")
+    signed = texts.mapInArrow(_sign(params), "k long, bands array<long>, f long").groupBy("k").agg(F.first("bands").alias("bands"), F.first("f").alias("f"))
+    signed = materialize(signed, "bands")
     rows = signed.select("k", F.explode("bands").alias("band"))
     heads = rows.groupBy("band").agg(F.min("k").alias("b"), F.max("k").alias("top")).where("b < top").select("band", "b")
-    candidates = connected_components(rows.join(heads, "band").where("k <> b").select(F.col("k").alias("a"), "b").distinct())
+    shared = rows.join(heads, "band").where("k <> b").select(F.col("k").alias("a"), "b").distinct()
+    candidates = connected_components(shared.unionByName(_fingerprint_links(signed.select("k", "f"), params.radius)))
     groups = candidates.select(F.col("node").alias("k"), F.col("root").alias("group"))
     groups = groups.unionByName(groups.select(F.col("group").alias("k"), "group").distinct())
     # copies are merged map-side, before the texts move

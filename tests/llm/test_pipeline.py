@@ -77,6 +77,29 @@ def test_near_duplicates_from_four_fifths(spark):
     assert c.near_duplicate_filter(spark, docs.limit(0), SF).count() == 0
 
 
+def test_near_duplicates_by_the_covering_operator(spark):
+    """Without help from bands every similar pair that op4 links is found, and an exact check follows."""
+    import random
+
+    from gridlark.llm import covering, shingles
+
+    rng = random.Random(8)
+    texts = []
+    for _ in range(20):
+        a = [str(rng.randrange(10**6)) for _ in range(600)]
+        b = list(a)
+        b[rng.randrange(600)] = "edited"
+        texts += [" ".join(a), " ".join(b)]
+    line = " ".join(str(rng.randrange(10**6)) for _ in range(13))
+    texts += [" ".join([line] * 90 + [str(rng.randrange(10**6)) for _ in range(20)]) for _ in range(2)]
+    prints = [covering.fingerprint(t.encode()) for t in texts]
+    near = [i for i in range(0, len(texts), 2) if (prints[i] ^ prints[i + 1]).bit_count() <= 4]
+    assert len(near) > 10 and near[-1] == 40  # the last pair is within 4 bits, its sets are not similar
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    got = {r.k: r.root for r in shingles.classes(rows, shingles.ShingleParams(bands=1, rows=2000)).collect()}
+    assert all(got.get(i + 1) == i for i in near[:-1]) and got.get(41, 41) == 41
+
+
 def test_shingle_components_are_exact():
     import numpy as np
     from gridlark.llm import shingles
