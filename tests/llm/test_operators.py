@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -169,6 +170,33 @@ def test_language_model_learns_from_all_texts(spark, monkeypatch):
     assert np.abs(weights - 0.3).max() > 0.1 and tasks[0] <= 2 * spark.sparkContext.defaultParallelism
 
 
+def test_language_model_counts_copies_once(rows, monkeypatch):
+    """Equal bytes in equal contexts go through a table together, and the counts are those of bit after bit."""
+    texts = [t for t in ((r[1] or "").lower().encode() for r in rows) if len(t) < 3000] + [b"\0\0 nul", b"x" * 200 + b" y"]
+    small, spread = a_model(texts).coder, []
+    coder = lm_score.Coder(lm_score.CHUNK.bit_length() - 2, small.topics, small.tree, small.params)
+    length, offset, node, bit = coder.tree
+    plain = lm_score.Coder.spread
+    monkeypatch.setattr(lm_score.Coder, "spread", lambda self, contexts, code, *a: spread.append(len(code)) or plain(self, contexts, code, *a))
+    for copies, held in ((1, 1 << 21), (40, 1 << 21), (3, 500)):
+        spread.clear()
+        monkeypatch.setattr(lm_score, "HELD", held)
+        want, met = np.zeros((lm_score.ORDERS, 2 << coder.bits), np.int64), set()
+        for window in coder.windows([lm_score.spelled(t.split()) for t in texts]):
+            for i, b in enumerate(window.code.tolist()):
+                for k in range(lm_score.ORDERS):
+                    met.add((k, int(window.contexts[k][i]), b))
+                    for j in range(offset[b], offset[b] + length[b]):
+                        want[k, 2 * (int(window.contexts[k][i]) ^ int(node[j])) + int(bit[j])] += copies
+        got = np.zeros_like(want)
+        for out in lm_score._count_bits(coder)([pa.RecordBatch.from_pydict({"text": [t.decode() for t in texts * copies]})]):
+            for piece, counts in zip(*(out.column(n).to_pylist() for n in ("piece", "counts"))):
+                at = piece & 0xFFFFFFFF
+                got[piece >> 32, at : at + lm_score.CHUNK] = lm_score._widened(counts)
+        assert np.array_equal(got, want)
+        assert held == 500 or sum(spread) == len(met)
+
+
 @pytest.mark.parametrize("most", [1, 200, 60_000, 1 << 20])
 def test_narrow_counts(most):
     rng = np.random.default_rng(most)
